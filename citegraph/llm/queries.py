@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegraph.llm import decontaminate, neardup, substring
+from citegraph.llm import decontaminate, langid, neardup, substring
 from citegraph.llm.shared import documents
 
 
@@ -27,7 +27,14 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score; learned from the rows that are not held out."""
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang").withColumn("held_out", langid.held_out())
+    return langid.predict(docs, langid.train(docs.filter("not held_out")), "doc_id", "held_out")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
