@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegraph.llm import decontaminate, langid, neardup, substring
+from citegraph.llm import decontaminate, langid, mixing, neardup, reshard, substring
 from citegraph.llm.shared import documents
 
 
@@ -33,10 +33,23 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs.filter("not held_out")), "doc_id", "held_out")
 
 
+def op2_mincost_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, old_shard; 16 shards of near-equal bytes from a layout by source."""
+    placed, _ = reshard.reshard(documents(spark, sf_dir))
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, size, source_size, target, taken, copies, part, position."""
+    return mixing.mix(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
+    "op2_mincost_reshard": op2_mincost_reshard,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_substring_dedup": op5_substring_dedup,
+    "op6_mix_sources": op6_mix_sources,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
