@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegraph.llm import decontaminate, langid, mixing, neardup, reshard, substring
+from citegraph.llm import decontaminate, langid, mixing, neardup, pii, reshard, substring
 from citegraph.llm.shared import documents
 
 
@@ -44,12 +44,18 @@ def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir))
 
 
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    return pii.digest(pii.personal_data(documents(spark, sf_dir), "doc_id"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_mincost_reshard": op2_mincost_reshard,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_mix_sources": op6_mix_sources,
+    "op9_personal_data": op9_personal_data,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 

@@ -1,0 +1,65 @@
+"""op9 against the rules written down with `re`, and the edge cases."""
+
+import hashlib
+import random
+import re
+
+from citegraph.llm import pii
+
+RULES = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def _luhn(digits: str) -> bool:
+    total = 0
+    for i, d in enumerate(reversed(digits)):
+        v = int(d) * (1 + i % 2)
+        total += v - 9 * (v > 9)
+    return total % 10 == 0
+
+
+def _good(kind: str, m: str) -> bool:
+    digits = re.sub("[^0-9]", "", m)
+    return {"email": True, "ip": kind == "ip" and all(int(x) <= 255 for x in m.split(".")), "card": 13 <= len(digits) <= 19 and _luhn(digits), "phone": 9 <= len(digits) <= 15}[kind]
+
+
+def base_of(text: str | None) -> list[str]:
+    return [f"{k}:{m.start()}:{m.end()}" for k, rule in RULES.items() for m in re.finditer(rule, text or "") if _good(k, m[0])]
+
+
+def test_base_spans_equal_the_rules(spark):
+    rng = random.Random(5)
+    parts = ["a@b.c", "x.y@z-1.co.uk", "@", ".", "a", "1.2.3.4", "999.1.1.1", "007.0255.0.1", "4539578763621486", "4539 5787 6362 1486", "+1 (499) 555-6503", "+49", "-", " ", "\n", "é", "😀", "12", "0", "+", "(", ")", "\x01", "1.2.3.4.5.6.7.8", "a@b.c.@d.e", "%"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 40))) for _ in range(400)] + [None, "", " ", "9" * 5000, "a" * 200_000, "a@b.c " * 3000, "1.1.1.1\n" * 500]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    rows = pii.digest(pii.personal_data(docs, "doc_id")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = base_of(texts[r.doc_id])
+        assert r.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest(), texts[r.doc_id]
+        assert r.spans.split(",")[: len(want)] == want or not want
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(w.startswith(k + ":") for w in want) for k in RULES)
+
+
+def test_further_spans_come_from_the_classifier(spark):
+    good = ["Please write to jane.doe [at] example [dot] com today", "Call me, phone (415) 555-2671 now", "Dear Mr. James Smith, hello", "my SSN 219-09-9999 is here"]
+    filler = [f"nothing here {i}" for i in range(50)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(good * 20 + filler)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in pii.personal_data(docs, "doc_id").collect()}
+    for i, kind in enumerate(["email_spelled", "phone_local", "name", "national_id"]):
+        (s,) = rows[i].added
+        assert s.kind == kind and 0.5 <= s.probability <= 1
+    assert good[0][rows[0].added[0].start : rows[0].added[0].end] == "jane.doe [at] example [dot] com"
+    assert all(not rows[i].added and not rows[i].base for i in range(80, 130))
+
+
+def test_edges(spark):
+    empty = spark.createDataFrame([], "doc_id long, text string, kind int, base string, more string")
+    assert pii.digest(pii.personal_data(empty, "doc_id")).collect() == []
+    odd = spark.createDataFrame([(None, None, 1), (None, "a@b.c", 2), (7, "a@b.c", 3), (7, "a@b.c", 3)], "doc_id long, text string, pattern int")
+    rows = pii.digest(pii.personal_data(odd, "doc_id")).collect()
+    assert sorted((str(r.doc_id), r.n_email) for r in rows) == [("7", 1), ("7", 1), ("None", 0), ("None", 1)]
