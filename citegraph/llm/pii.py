@@ -258,8 +258,8 @@ def personal_data(docs: DataFrame, *keep: str, least: float = 0.5) -> DataFrame:
     def judged(table: Column, spans: str) -> Column:
         return F.transform(spans, lambda s: F.struct(F.get(names, s["kind"]).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), F.get(table, s["kind"] * size + s["pattern"]).alias("probability")))
 
-    base = F.when(F.size("base") > 0, judged(table, "base")).otherwise(F.array())
-    added = F.when(F.size("more") > 0, F.filter(judged(table, "more"), lambda s: s["probability"] >= least)).otherwise(F.array())
+    base = F.when(F.size("base") > 0, let(table, lambda t: judged(t, "base"))).otherwise(F.array())
+    added = F.when(F.size("more") > 0, F.filter(let(table, lambda t: judged(t, "more")), lambda s: s["probability"] >= least)).otherwise(F.array())
     kind = "array<struct<kind:string,start:bigint,end:bigint,probability:double>>"
     return found.select(*keep, base.cast(kind).alias("base"), added.cast(kind).alias("added"))
 
