@@ -51,9 +51,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return steps.select("source", "source_size", F.least(F.col("bound").cast("double"), share.cast("double")).alias("target"))
 
 
-
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, blocks: int = BLOCKS, levels: int = LEVELS, seed: int = 17) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, copies, part, position) for every row of `docs` (doc_id, text, source, ...).
+    """(doc_id, size, source_size, target, taken, copies, part, position, source, text_hash) for every row of `docs` (doc_id, text, source, ...).
 
     size is the number of words, taken = copies * size, copies from 0 to `most`.
     part (0 .. 2**levels - 1) is the output shard of a taken document, position its
@@ -62,8 +61,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     never differ by its longest document.  The draw depends on the rows and the seed alone.  A null text has no words; a null source is a source of
     its own; rows of a null doc_id and repeated rows are documents like any other.
     """
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("h"))
-    rows = rows.withColumn("spot", F.xxhash64("doc_id", "h", F.lit(seed))).withColumn("block", F.pmod("spot", F.lit(blocks)).cast("int")).drop("h")
+    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("text_hash"))
+    rows = rows.withColumn("spot", F.xxhash64("doc_id", "text_hash", F.lit(seed))).withColumn("block", F.pmod("spot", F.lit(blocks)).cast("int"))
     rows = written(rows, "sizes")
     table = rows.groupBy("source", "block").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     goal = targets(table.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
@@ -88,7 +87,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
         table = table.withColumn("part", F.col("part") * 2 + (F.col("rank") > F.floor("half")).cast("int"))
     table = written(table.select("source", "block", "source_size", "target", "rounds", "quota", "upto", "zone", F.coalesce("ahead", F.lit(0)).alias("ahead"), "part"), "blocks")
 
-    placed = rows.alias("r").join(table.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.block") == F.col("b.block"))).select("doc_id", "size", "spot", "b.*")
+    placed = rows.alias("r").join(table.alias("b"), F.col("r.source").eqNullSafe(F.col("b.source")) & (F.col("r.block") == F.col("b.block"))).select("doc_id", "text_hash", "size", "spot", "b.*")
     split = placed.filter("zone").withColumn("left", F.col("quota") - F.col("ahead")).withColumn("extra", F.lit(0))
     slack = F.max("size").over(Window.partitionBy("source"))  # room for the largest document, which the later turns may need
     for turn in range(5):  # first in a permuted order, then the largest that still fit
@@ -102,4 +101,16 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, b
     whole = placed.filter("not zone").withColumn("extra", (F.col("upto") <= F.col("quota")).cast("int"))
     out = split.unionByName(whole).withColumn("copies", F.least(F.col("rounds") + F.col("extra"), F.lit(most)))
     taken = F.col("copies") > 0
-    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", F.when(taken, F.col("part")).alias("part"), F.when(taken, F.xxhash64("spot", F.lit(seed + 99))).alias("position"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", F.when(taken, F.col("part")).alias("part"), F.when(taken, F.xxhash64("spot", F.lit(seed + 99))).alias("position"), "source", "text_hash")
+
+
+def repeat_taken(docs: DataFrame, mixture: DataFrame) -> DataFrame:
+    """The rows of `docs` as often as `mixture`, the result of mix, takes them; rows equal in doc_id, text and source count as one that is taken as often as they are together."""
+    key = ["doc_id", "source", "text_hash"]
+    takes = mixture.groupBy(*key).agg(F.sum("copies").cast("int").alias("__times"), F.count("*").alias("__rows")).filter("__times > 0")
+    rows = docs.withColumn("__hash", F.xxhash64("text")).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("t.doc_id")) & F.col("d.source").cast("string").eqNullSafe(F.col("t.source")) & (F.col("__hash") == F.col("t.text_hash"))
+    found = rows.join(takes.alias("t"), same).select("d.*", "__times", "__rows")
+    single = found.filter("__rows = 1")
+    repeated = found.filter("__rows > 1").dropDuplicates(["doc_id", "source", "__hash"])
+    return single.unionByName(repeated).withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times"))).drop("__times", "__rows", "__hash", "__copy")
