@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from citegraph.llm import decontaminate, langid, mixing, neardup, pii, reshard, substring
+from citegraph.llm import decontaminate, langid, licenses, media, mixing, neardup, pii, reshard, substring, warc
 from citegraph.llm.shared import documents
 
 
@@ -49,14 +49,67 @@ def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.personal_data(documents(spark, sf_dir), "doc_id"))
 
 
+def page_records(pages: DataFrame) -> DataFrame:
+    """WARC records of pages: each was fetched at the time of its number and asked for again 1,000 later, when the server said not modified."""
+    etag, sha = F.concat(F.lit('"'), F.md5("html"), F.lit('"')), F.sha1(F.col("html").cast("binary"))
+    full = pages.select((F.col("page_id") * 2).alias("record_id"), "url", F.col("page_id").alias("time"), F.lit("response").alias("type"), sha.alias("digest"), etag.alias("etag"), F.create_map(F.lit("etag"), etag, F.lit("content-type"), F.lit("text/html")).alias("headers"))
+    again = pages.select((F.col("page_id") * 2 + 1).alias("record_id"), "url", (F.col("page_id") + 1000).alias("time"), F.lit("revisit").alias("type"), sha.alias("digest"), etag.alias("etag"), F.create_map(F.lit("etag"), etag, F.lit("content-length"), F.lit("0")).alias("headers"))
+    return full.unionByName(again).withColumn("last_modified", F.lit(None).cast("string"))
+
+
+def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id of each revisit, url, status, response_page, digest, header_names."""
+    done = warc.resolve(page_records(spark.read.parquet(f"{sf_dir}/pages.parquet")))
+    half = lambda c: F.floor((F.col(c) - F.col(c) % 2) / 2).cast("long")
+    return done.select(half("record_id").alias("page_id"), "url", "status", half("response_id").alias("response_page"), "digest", F.array_join(F.array_sort(F.map_keys("headers")), ",").alias("header_names"))
+
+
+OP4_SQL = r"""
+with cut as (select page_id, html, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') as u from pages),
+split as (
+  select page_id, html,
+    regexp_replace(regexp_replace(regexp_replace(lower(regexp_extract(u, '^[^/?]*', 0)), '^.*@', ''), ':(80|443)$', ''), '^www[0-9]*\.|\.$', '') as host,
+    regexp_replace(regexp_replace(regexp_extract(u, '^[^/?]*([^?]*)', 1), '/(index|default)\.(html?|php|aspx?)$', '/'), '/+$', '') as path,
+    list_sort(list_filter(string_split(regexp_extract(u, '\?(.*)$', 1), '&'), lambda p: p <> '' and not regexp_matches(lower(p), '^(utm_[a-z]+|ref|fbclid|gclid|sessionid|phpsessid)(=|$)'))) as query
+  from cut),
+named as (select page_id, html, host || path || case when len(query) > 0 then '?' || array_to_string(query, '&') else '' end as url from split),
+records as (
+  select page_id, url, page_id as time, true as is_full, sha1(html) as digest from named
+  union all select page_id, url, page_id + 1000, false, sha1(html) from named),
+joined as (
+  select *, max(case when is_full then page_id end) over (partition by url order by time range between unbounded preceding and 1 preceding) as found from records)
+select j.page_id, j.url, case when n.page_id is null then 'unresolved' when sha1(n.html) = j.digest then 'resolved' else 'contradicted' end as status,
+  case when sha1(n.html) = j.digest then n.page_id end as response_page, j.digest,
+  case when sha1(n.html) = j.digest then 'content-type,etag' else 'content-length,etag' end as header_names
+from joined j left join named n on n.page_id = j.found where not j.is_full
+"""
+
+
+def op7_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """vec_id, class_id, n_corners of the embeddings drawn as images."""
+    return media.copies(media.vector_images(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))).withColumnRenamed("image_id", "vec_id")
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, path, license, score, origin, licensed_by; documents lie in directories by source and number, every seventh as a licence file."""
+    d = documents(spark, sf_dir)
+    name = F.concat(F.when(F.col("doc_id") % 7 == 0, F.lit("LICENSE.")).otherwise(F.lit("")), F.col("doc_id").cast("string"))
+    path = F.concat_ws("/", F.coalesce("source", F.lit("none")), F.floor(F.col("doc_id") / 1000).cast("string"), F.floor(F.col("doc_id") / 50).cast("string"), name)
+    files = d.select("doc_id", F.when(F.col("doc_id").isNotNull(), path).alias("path"), "text")
+    return licenses.scan(files, "doc_id", "path")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_mincost_reshard": op2_mincost_reshard,
     "op3_minhash_near_dedup": op3_minhash_near_dedup,
+    "op4_warc_revisits": op4_warc_revisits,
     "op5_substring_dedup": op5_substring_dedup,
     "op6_mix_sources": op6_mix_sources,
+    "op7_image_copies": op7_image_copies,
+    "op8_license_scan": op8_license_scan,
     "op9_personal_data": op9_personal_data,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op4_warc_revisits": OP4_SQL}
