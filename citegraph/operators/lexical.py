@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from citegraph.functions.text import tokenize, tokenize_query
 
 K1, B = 1.2, 0.75
+#: Sums of the same terms in another order differ in their last bits; rounded, copies of a document tie.
+SCORE_DIGITS = 9
 #: Query terms beyond which they are joined by a shuffle instead of a broadcast.
 BROADCAST_ROWS = 200_000
 
@@ -70,7 +72,7 @@ def search(index: LexicalIndex, queries: DataFrame, k: int = 20) -> DataFrame:
     hits = index.postings.join(small(weighed), "term")
     tf, dl = F.col("tf"), F.greatest(F.col("dl"), F.lit(1))
     parts = hits.join(index.doc_stats, "doc_id").select("query_id", "doc_id", (F.col("w") * tf * (index.k1 + 1) / (tf + index.k1 * (1 - index.b + index.b * dl / F.col("avgdl")))).alias("part"))
-    return ranked_top(parts.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")), k)
+    return ranked_top(parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score")), k)
 
 
 def scan_search(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = K1, b: float = B) -> DataFrame:
@@ -84,4 +86,4 @@ def scan_search(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = K1
     weighed = terms.join(df, "term").crossJoin(F.broadcast(corpus)).select("query_id", "term", "avgdl", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("w"))
     tf, dl = F.col("tf"), F.greatest(F.col("dl"), F.lit(1))
     parts = found.join(weighed, "term").select("query_id", "doc_id", (F.col("w") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl / F.col("avgdl")))).alias("part"))
-    return ranked_top(parts.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")), k)
+    return ranked_top(parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score")), k)

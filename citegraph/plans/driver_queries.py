@@ -220,7 +220,7 @@ with occ as ({_tokens("documents", "doc_id")}), {_LENGTHS},
 qt as (select item_id, t, count(*) as qtf from ({_tokens("benchmark", "item_id")}) group by item_id, t),
 tfs as (select doc_id, t, count(*) as tf from occ where t in (select t from qt) group by doc_id, t),
 scored as (
-  select q.item_id as query_id, f.doc_id, sum(q.qtf * ln(1 + (c.n - d.df + 0.5) / (d.df + 0.5)) * f.tf * 2.2 / (f.tf + 1.2 * (0.25 + 0.75 * greatest(l.dl, 1) / c.avgdl))) as score
+  select q.item_id as query_id, f.doc_id, round(sum(q.qtf * ln(1 + (c.n - d.df + 0.5) / (d.df + 0.5)) * f.tf * 2.2 / (f.tf + 1.2 * (0.25 + 0.75 * greatest(l.dl, 1) / c.avgdl))), 9) as score
   from qt q join tfs f on f.t = q.t join dfs d on d.t = q.t join dls l on l.doc_id = f.doc_id cross join corpus c group by q.item_id, f.doc_id),
 r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from scored)
 select query_id, doc_id, round(score, 6) as score, rank from r where rank <= 20""",
