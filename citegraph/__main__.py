@@ -7,7 +7,7 @@ import json
 
 from pyspark.sql import SparkSession
 
-from citegraph.plans.agent import Navigator
+from citegraph.plans.agent import Answerer
 from citegraph.plans.index import MODES, Index
 
 
@@ -29,7 +29,7 @@ def main() -> None:
     elif given.do == "search":
         print(json.dumps(Index.load(spark, given.index).search(given.query, given.mode), indent=2))
     else:
-        print(json.dumps(Navigator(Index.load(spark, given.index)).answer(given.question).to_dict(), indent=2, default=str))
+        print(json.dumps(Answerer(Index.load(spark, given.index)).answer(given.question).to_dict(), indent=2, default=str))
 
 
 if __name__ == "__main__":

@@ -238,7 +238,7 @@ class Answer:
         return dataclasses.asdict(self) | {"supported": self.supported, "validity": self.validity, "cited_files": self.cited_files}
 
 
-class Navigator:
+class Answerer:
     """At most `max_steps` actions, one JSON object each; what the final one cites is verified against the index."""
 
     def __init__(self, index: Index, model: Model | None = None, max_steps: int = 6, token_budget: int = 6000):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citegraph.operators import metrics
-from citegraph.plans.agent import Model, Navigator
+from citegraph.plans.agent import Model, Answerer
 from citegraph.plans.index import MODES, Index
 
 
@@ -35,7 +35,7 @@ def agent(questions: list[dict], index: Index, model: Model | None = None, max_s
     """Citation statistics, the share of answers that cite a gold file, mean steps and a histogram of tools."""
     spark, answers = index.spark, []
     for q in questions:
-        answers.append((q, Navigator(index, model, max_steps).answer(q["question"])))
+        answers.append((q, Answerer(index, model, max_steps).answer(q["question"])))
     ids = spark.createDataFrame([(q["id"],) for q, _ in answers], "answer_id string")
     cited = spark.createDataFrame([(q["id"], c["valid"], c["reason"]) for q, a in answers for c in a.citations], "answer_id string, valid boolean, reason string")
     row = metrics.citation_stats(ids, cited).first().asDict()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from citegraph.functions import text as T
 from citegraph.operators import fusion, graph, lexical, lookup, metrics, vectors
 from citegraph.plans import evaluate
-from citegraph.plans.agent import CachedModel, Navigator, OfflinePolicy, ResponseCache, ToolBox
+from citegraph.plans.agent import CachedModel, Answerer, OfflinePolicy, ResponseCache, ToolBox
 from citegraph.plans.index import Index, build_indexes
 from citegraph.sources import files
 
@@ -233,7 +233,7 @@ def test_agent(index, tmp_path):
     assert tools.call("list_symbols", {"path": "pricing"}).payload["path"] == "src/shop/pricing.py"
     assert tools.call("grep_repo", {"pattern": "lru_cache"}).payload["matches"]
     cache = ResponseCache(str(tmp_path / "c.db"))
-    answer = Navigator(index, CachedModel(OfflinePolicy(), cache, "offline")).answer("what calls price_of?")
+    answer = Answerer(index, CachedModel(OfflinePolicy(), cache, "offline")).answer("what calls price_of?")
     assert answer.stopped == "final_answer" and answer.supported and answer.validity == 1.0
     assert answer.tools_used == ["search_code", "expand_context", "read_chunk", "find_callers", "final_answer"]
     assert cache.stats()["entries"] == 5
