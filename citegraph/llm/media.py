@@ -3,8 +3,8 @@
 Corners are the local maxima of the Harris response at several scales.  Each gets
 the direction of its surroundings' centroid and 128 binary tests of smoothed
 brightness, turned into that direction.  Descriptors meet in four Hamming tables,
-one for each 32-bit word (two that differ in at most three bits share a word); two
-images are copies if enough of their matched corners agree on one turn, scale and
+one for each 32-bit word and half of the next, so that chance meetings are rare;
+two images are copies if enough of their matched corners agree on one turn, scale and
 shift.
 """
 
@@ -25,6 +25,8 @@ by_value(__name__)
 SCALES, RADIUS, TURNS, WORDS = (1, 2), 15, 32, 4
 #: Bits in which two descriptors of one corner may differ, and corners that must agree.
 DISTANCE, INLIERS = 24, 6
+#: Words that an image must share with the least one of its buckets to be compared with it; chance meetings share one.
+SHARED = 2
 #: Share of an image's strongest response that a corner needs.
 LEAST_RESPONSE = 0.02
 BLOCK = 64
@@ -56,6 +58,17 @@ def _box(img: np.ndarray, r: int) -> np.ndarray:
     return (p[n:, n:] - p[:-n, n:] - p[n:, :-n] + p[:-n, :-n])[: img.shape[0], : img.shape[1]] / (n * n)
 
 
+def _greatest(a: np.ndarray, r: int) -> np.ndarray:
+    """Maxima over squares of side 2r+1, one axis after the other."""
+    for _ in range(2):
+        wide, n = np.pad(a, ((r, r), (0, 0)), constant_values=-np.inf), a.shape[0]
+        a = wide[:n]
+        for k in range(1, 2 * r + 1):
+            a = np.maximum(a, wide[k : k + n])
+        a = a.T
+    return a
+
+
 def corners(img: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(y, x, scale, turn, descriptors as 4 words) of all corners of a grey image, none if it is flat or small."""
     ys, xs, scales, turns, words = [], [], [], [], []
@@ -68,8 +81,7 @@ def corners(img: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         gy, gx = np.gradient(smooth)
         yy, xx, xy = _box(gy * gy, 2 * scale), _box(gx * gx, 2 * scale), _box(gx * gy, 2 * scale)
         response = yy * xx - xy * xy - 0.05 * (yy + xx) ** 2
-        near = np.lib.stride_tricks.sliding_window_view(np.pad(response, 2 * scale, constant_values=-np.inf), (4 * scale + 1, 4 * scale + 1)).max((2, 3))
-        peak = (response >= near) & (response > max(LEAST_RESPONSE * response.max(), 1e-6))
+        peak = (response >= _greatest(response, 2 * scale)) & (response > max(LEAST_RESPONSE * response.max(), 1e-6))
         peak[:edge] = peak[-edge:] = False
         peak[:, :edge] = peak[:, -edge:] = False
         y, x = np.nonzero(peak)
@@ -127,7 +139,9 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             width = width if width and width > 0 else 1
             y, x, scale, turn, words = corners(img[: len(img) // width * width].reshape(-1, width))
             flat = np.concatenate([np.stack([y, x, scale, turn], 1).astype(np.int64), words.astype(np.int64)], 1)
-            tables = np.unique(words.astype(np.int64) | (np.arange(WORDS, dtype=np.int64) << 32))
+            # A word, half of the next one and the table's number.
+            wide = words.astype(np.int64)
+            tables = np.unique(wide | ((np.roll(wide, -1, 1) & 0xFFFF) << 32) | (np.arange(WORDS, dtype=np.int64) << 48))
             rows.append({"rep": key, "corners": flat.ravel().tolist(), "tables": tables.tolist()})
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
@@ -159,9 +173,9 @@ def copies(images: DataFrame) -> DataFrame:
     """(image_id, class_id, n_corners) for every row of `images` (image_id long, pixels binary, grey by rows, width int).
 
     class_id is the least image_id of those that are copies of each other,
-    directly or through others.  Equal images are one; of others, those that share a
-    word of a Hamming table are compared: first all members of a bucket with its
-    least, then, where a bucket still spans several components, those outside its
+    directly or through others.  Equal images are one; of others, those that share
+    words of Hamming tables are compared: first members of a bucket with its
+    least, if they share SHARED words with it, then, where a bucket still spans several components, those outside its
     largest component with all, in blocks.  A null image is only a copy of null ones, an
     image too small or flat for corners only of its equals; an incomplete last row
     of pixels is left out of the search for corners.  Null ids are carried, never compared.
@@ -177,7 +191,7 @@ def copies(images: DataFrame) -> DataFrame:
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).filter("n > 1")
     members = written(keyed.join(buckets, "key"), "members")
     box = byid.select("rep", "corners")
-    near = members.filter("rep <> leader").select("rep", "leader").distinct()
+    near = members.filter("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("shared")).filter(F.col("shared") >= SHARED).select("rep", "leader")
     sided = near.join(box, "rep").join(box.select(F.col("rep").alias("leader"), F.col("corners").alias("corners2")), "leader")
     linked = written(sided.select(F.col("rep").alias("a"), F.col("leader").alias("b"), "corners", "corners2").mapInArrow(_pairs, "a long, b long"), "links")
     labels = connected_components(linked)
