@@ -131,7 +131,8 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -
     texts = written(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
 
     placed = texts.filter(F.size("anchors") > 0).select("tid", "n", F.explode("anchors").alias("gram"))
-    common = placed.groupBy("gram").agg(F.sum("n").alias("c")).filter("c > 1").select("gram")
+    # What is shared is written, so that the joins with it have exchanges of their own and Spark may split a hot key.
+    common = written(placed.groupBy("gram").agg(F.sum("n").alias("c")).filter("c > 1").select("gram"), "common")
     hits = written(placed.join(common, "gram").groupBy("tid", "n").agg(F.collect_set("gram").alias("grams")), "hits")
     wanted = written(hits.join(texts.select("tid", "text_key"), "tid"), "wanted")
     bodies = source.select("text_key", "text")
@@ -140,7 +141,7 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -
 
     runs = bodies.mapInArrow(_windows(window, anchor), "gram long, whole long, tid long, begin int, n long")
     runs = written(runs, "windows")
-    repeated = runs.groupBy("gram", "whole").agg(F.sum("n").alias("c")).filter("c > 1").select("gram", "whole")
+    repeated = written(runs.groupBy("gram", "whole").agg(F.sum("n").alias("c")).filter("c > 1").select("gram", "whole"), "repeated")
     # A text that has a copy loses all it has; only texts of their own need their windows back.
     found = runs.filter("n = 1").join(repeated, ["gram", "whole"]).groupBy("tid").agg(F.collect_list("begin").alias("begins"))
     stripped = found.join(bodies.select("tid", "text"), "tid").select("tid", "text", "begins")
