@@ -3,8 +3,8 @@
 Corners are the local maxima of the Harris response at several scales.  Each gets
 the direction of its surroundings' centroid and 128 binary tests of smoothed
 brightness, turned into that direction.  Descriptors meet in four Hamming tables,
-one for each 32-bit word and half of the next, so that chance meetings are rare;
-two images are copies if enough of their matched corners agree on one turn, scale and
+one for each 32-bit word (two that differ in at most three bits share a word); two
+images are copies if enough of their matched corners agree on one turn, scale and
 shift.
 """
 
@@ -25,8 +25,6 @@ by_value(__name__)
 SCALES, RADIUS, TURNS, WORDS = (1, 2), 15, 32, 4
 #: Bits in which two descriptors of one corner may differ, and corners that must agree.
 DISTANCE, INLIERS = 24, 6
-#: Words that an image must share with the least one of its buckets to be compared with it; chance meetings share one.
-SHARED = 2
 #: Share of an image's strongest response that a corner needs.
 LEAST_RESPONSE = 0.02
 BLOCK = 64
@@ -111,23 +109,20 @@ def inliers(a: np.ndarray, b: np.ndarray) -> int:
     """Corners of one image that agree with the other's on one similarity; rows of a and b are (y, x, scale, turn, 4 words)."""
     if len(a) < INLIERS or len(b) < INLIERS:
         return 0
-    apart = np.bitwise_count(a[:, None, 4:].astype(np.uint32) ^ b[None, :, 4:].astype(np.uint32)).sum(-1)
+    halves = [(x[:, 4:6] << 32 | x[:, 6:8]).astype(np.uint64) for x in (a, b)]
+    apart = sum(np.bitwise_count(halves[0][:, None, w] ^ halves[1][None, :, w]) for w in range(2))
     left, right = apart.argmin(1), apart.argmin(0)
     i = np.flatnonzero((right[left] == np.arange(len(a))) & (apart[np.arange(len(a)), left] <= DISTANCE))
     if len(i) < INLIERS:
         return 0
     p, q = a[i], b[left[i]]
-    best = 0
     # Each match proposes a turn (from the directions) and a shift, under the scales' ratio; the others vote.
-    for k in range(len(i)):
-        ratio = q[k, 2] / p[k, 2]
-        turn = 2 * np.pi * (q[k, 3] - p[k, 3]) / TURNS
-        dy, dx = (p[:, 0] - p[k, 0]) * ratio, (p[:, 1] - p[k, 1]) * ratio
-        oy = q[k, 0] + dy * np.cos(turn) + dx * np.sin(turn)
-        ox = q[k, 1] + dx * np.cos(turn) - dy * np.sin(turn)
-        allowed = 2.5 + 0.12 * np.hypot(dy, dx)
-        best = max(best, int((np.hypot(q[:, 0] - oy, q[:, 1] - ox) <= allowed).sum()))
-    return best
+    ratio, turn = (q[:, 2] / p[:, 2])[:, None], (2 * np.pi * (q[:, 3] - p[:, 3]) / TURNS)[:, None]
+    dy, dx = (p[None, :, 0] - p[:, None, 0]) * ratio, (p[None, :, 1] - p[:, None, 1]) * ratio
+    oy = q[:, None, 0] + dy * np.cos(turn) + dx * np.sin(turn)
+    ox = q[:, None, 1] + dx * np.cos(turn) - dy * np.sin(turn)
+    allowed = 2.5 + 0.12 * np.hypot(dy, dx)
+    return int((np.hypot(q[None, :, 0] - oy, q[None, :, 1] - ox) <= allowed).sum(1).max())
 
 
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,32 +134,35 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             width = width if width and width > 0 else 1
             y, x, scale, turn, words = corners(img[: len(img) // width * width].reshape(-1, width))
             flat = np.concatenate([np.stack([y, x, scale, turn], 1).astype(np.int64), words.astype(np.int64)], 1)
-            # A word, half of the next one and the table's number.
-            wide = words.astype(np.int64)
-            tables = np.unique(wide | ((np.roll(wide, -1, 1) & 0xFFFF) << 32) | (np.arange(WORDS, dtype=np.int64) << 48))
+            tables = np.unique(words.astype(np.int64) | (np.arange(WORDS, dtype=np.int64) << 32))
             rows.append({"rep": key, "corners": flat.ravel().tolist(), "tables": tables.tolist()})
         yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
 
+def _boxes(col: pa.Array) -> list[np.ndarray]:
+    """The corners of each row, 8 numbers each, without a copy."""
+    col = col.combine_chunks() if isinstance(col, pa.ChunkedArray) else col
+    flat, off = col.values.to_numpy(), col.offsets.to_numpy()
+    return [flat[lo:hi].reshape(-1, 8) for lo, hi in zip(off[:-1], off[1:], strict=True)]
+
+
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (a, b, corners of a, corners of b) those that are copies."""
     for batch in batches:
-        good = [inliers(np.array(x, np.int64).reshape(-1, 8), np.array(y, np.int64).reshape(-1, 8)) >= INLIERS for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        good = [inliers(x, y) >= INLIERS for x, y in zip(_boxes(batch.column(2)), _boxes(batch.column(3)), strict=True)]
         mask = pa.array(good, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
 
 def _compare(table: pa.Table) -> pa.Table:
     """Links between the queries and the targets of one block pair, at most one for each two components."""
-    rows = table.to_pylist()
-    asked, given = [r for r in rows if r["is_query"]], [r for r in rows if not r["is_query"]]
+    comps, boxes, role = table["comp"].to_pylist(), _boxes(table["corners"]), table["is_query"].to_pylist()
+    asked, given = [i for i, r in enumerate(role) if r], [i for i, r in enumerate(role) if not r]
     seen: set[tuple[int, int]] = set()
-    boxed = [np.array(r["corners"], np.int64).reshape(-1, 8) for r in given]
-    for r in asked:
-        own = np.array(r["corners"], np.int64).reshape(-1, 8)
-        for s, other in zip(given, boxed, strict=True):
-            pair = (min(r["comp"], s["comp"]), max(r["comp"], s["comp"]))
-            if pair[0] != pair[1] and pair not in seen and inliers(own, other) >= INLIERS:
+    for i in asked:
+        for j in given:
+            pair = (min(comps[i], comps[j]), max(comps[i], comps[j]))
+            if pair[0] != pair[1] and pair not in seen and inliers(boxes[i], boxes[j]) >= INLIERS:
                 seen.add(pair)
     return pa.table({"a": pa.array([p[0] for p in seen], pa.int64()), "b": pa.array([p[1] for p in seen], pa.int64())})
 
@@ -173,10 +171,10 @@ def copies(images: DataFrame) -> DataFrame:
     """(image_id, class_id, n_corners) for every row of `images` (image_id long, pixels binary, grey by rows, width int).
 
     class_id is the least image_id of those that are copies of each other,
-    directly or through others.  Equal images are one; of others, those that share
-    words of Hamming tables are compared: first members of a bucket with its
-    least, if they share SHARED words with it, then, where a bucket still spans several components, those outside its
-    largest component with all, in blocks.  A null image is only a copy of null ones, an
+    directly or through others.  Equal images are one; of others, those that share a
+    word of a Hamming table are compared: first all members of a bucket with its
+    least, then, where a bucket still spans several components, those outside its
+    largest component with all but the least, in blocks.  A null image is only a copy of null ones, an
     image too small or flat for corners only of its equals; an incomplete last row
     of pixels is left out of the search for corners.  Null ids are carried, never compared.
     """
@@ -191,15 +189,16 @@ def copies(images: DataFrame) -> DataFrame:
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).filter("n > 1")
     members = written(keyed.join(buckets, "key"), "members")
     box = byid.select("rep", "corners")
-    near = members.filter("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("shared")).filter(F.col("shared") >= SHARED).select("rep", "leader")
+    near = members.filter("rep <> leader").select("rep", "leader").distinct()
     sided = near.join(box, "rep").join(box.select(F.col("rep").alias("leader"), F.col("corners").alias("corners2")), "leader")
     linked = written(sided.select(F.col("rep").alias("a"), F.col("leader").alias("b"), "corners", "corners2").mapInArrow(_pairs, "a long, b long"), "links")
     labels = connected_components(linked)
 
-    spread = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("comp"))
+    spread = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "leader", "n", F.coalesce("label", "rep").alias("comp"))
     split = spread.groupBy("key").agg(F.first("n").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("set")).filter("n > 2 and least <> most")
     split = split.groupBy("n", "set").agg(F.min("key").alias("key"))
-    opened = written(spread.join(split.select("key"), "key"), "open")
+    # The least member has met all others, so it takes no part.
+    opened = written(spread.filter("rep <> leader").withColumn("n", F.col("n") - 1).join(split.select("key"), "key"), "open")
     largest = opened.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"))
     asked = opened.join(largest, "key").withColumn("is_query", F.col("comp") != F.col("top.comp"))
     blocks = asked.withColumn("q_blocks", F.ceil((F.col("n") - F.col("top.m")) / BLOCK).cast("int")).withColumn("t_blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("spot", F.xxhash64("rep"))

@@ -83,6 +83,16 @@ def test_op7_finds_crops_and_edits(spark):
     assert media.copies(spark.createDataFrame([], "image_id long, pixels binary, width int")).collect() == []
 
 
+def test_op7_compares_pairs_that_share_one_word(spark):
+    """Copies enlarged by 1.2 share a word or two with their originals, in buckets of two, and agree on enough corners."""
+    at = ((np.arange(153) + 0.5) / 1.2).astype(int)
+    images = {k: _picture(k, 128) for k in (1, 2, 3)}
+    images |= {k + 10: v[np.ix_(at, at)] for k, v in images.items()}
+    rows = [(k, bytearray(np.ascontiguousarray(v).tobytes()), v.shape[1]) for k, v in images.items()]
+    got = {r.image_id: r.class_id for r in media.copies(spark.createDataFrame(rows, "image_id long, pixels binary, width int")).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 11: 1, 12: 2, 13: 3}
+
+
 def _cosine(unit: str, df: dict, n: int) -> tuple[float, int]:
     idf = lambda t: math.log((1 + n) / (1 + df.get(t, 0))) + 1
     mine: dict = {}
