@@ -5,7 +5,8 @@ typed placeholders, other words are lower-cased and stripped of punctuation.
 Windows of template tokens are hash-joined with those of the benchmark; a hit
 counts if its slots are consistent, that is, if the values on the two sides
 correspond one to one, so a re-parameterised copy is caught and a chance meeting
-of placeholders is not.
+of placeholders is not.  Windows that are short or mostly placeholders say too little
+as templates; they, like all others, are also joined by their words, which must be equal.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from citegraph.llm.shared import by_value
 by_value(__name__)
 
 WINDOW, MIN_WINDOW, MAX_BENCHMARK_MB = 10, 5, 64
-#: A window needs at least this share of plain words.
+#: A window needs at least this share of plain words, and MIN_WINDOW tokens, to be matched as a template.
 PLAIN = 0.5
 NUM, NAME, UNIT = b"\x01", b"\x02", b"\x03"
 UNITS = frozenset(b"mm cm m km inch inches foot feet yard yards mile miles mg g kg gram grams kilogram kilograms ounce ounces pound pounds lb lbs ton tons ml l liter liters litre litres gallon gallons second seconds sec minute minutes min hour hours day days week weeks month months year years cent cents dollar dollars euro euros percent degree degrees mph kmh watt watts volt volts byte bytes kb mb gb".split())
@@ -44,7 +45,7 @@ def _constant(word: bytes) -> np.uint64:
 
 
 def template_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(template token hashes, whether each is a plain word, first token of each text).
+    """(template token hashes, hashes of the words themselves, first token of each text).
 
     A token is a run of ASCII letters, digits and non-ASCII bytes.  One that
     begins with a digit is a number; a known unit right after a number is a unit;
@@ -53,7 +54,7 @@ def template_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nd
     starts, ends, first = W.spans(data, at, _WORD)
     hashes = W.word_hashes(_LOWER[data], starts, ends)
     if not len(starts):
-        return hashes, np.empty(0, bool), first
+        return hashes, hashes, first
     lead = data[starts]
     number = (lead >= 48) & (lead <= 57)
     unit = np.zeros(len(starts), bool)
@@ -65,8 +66,9 @@ def template_hashes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.nd
     opens[first[:-1][first[:-1] < len(starts)]] = True
     unit &= ~opens
     name = (lead >= 65) & (lead <= 90) & ~opens
+    words = hashes.copy()
     hashes[number], hashes[unit], hashes[name] = _constant(NUM), _constant(UNIT), _constant(NAME)
-    return hashes, ~(number | unit | name), first
+    return hashes, words, first
 
 
 def template(text: bytes) -> tuple[list[bytes], list[bytes]]:
@@ -94,63 +96,78 @@ def consistent(left: list[bytes], right: list[bytes]) -> bool:
     return len({a for a, _ in pairs}) == len(pairs) == len({b for _, b in pairs})
 
 
-def _windows(tokens: list[bytes], window: int) -> list[tuple[int, int]]:
+def _windows(tokens: list[bytes], window: int) -> list[tuple[int, int, bool]]:
+    """(begin, length, whether it can be matched as a template) of every window; a text of fewer tokens is one window."""
     n = min(window, len(tokens))
-    return [(i, n) for i in range(len(tokens) - n + 1) if n >= MIN_WINDOW and sum(t not in (NUM, NAME, UNIT) for t in tokens[i : i + n]) >= PLAIN * n]
+    return [(i, n, n >= MIN_WINDOW and sum(t not in (NUM, NAME, UNIT) for t in tokens[i : i + n]) >= PLAIN * n) for i in range(len(tokens) - n + 1) if n]
+
+
+def _words(tokens: list[bytes], values: list[bytes]) -> list[bytes]:
+    return [v or t for t, v in zip(tokens, values, strict=True)]
 
 
 def _match(items: list[tuple[int, bytes]], window: int):
     """For each text the benchmark items that share a consistent window with it, with the number of such windows."""
-    parts = [(item, *template(text)) for item, text in items]
-    table: dict[tuple, list[tuple[int, list[bytes]]]] = {}
-    for item, tokens, values in parts:
-        for i, n in _windows(tokens, window):
-            table.setdefault(tuple(tokens[i : i + n]), []).append((item, values[i : i + n]))
-    lengths = sorted({len(k) for k in table})
+    # By template: (item, number of the text, begin of the window) and its slots; by the words themselves: only the former.
+    table: dict[tuple, list[tuple[tuple[int, int, int], list[bytes]]]] = {}
+    verbatim: dict[tuple, list[tuple[int, int, int]]] = {}
+    for nth, (item, text) in enumerate(items):
+        tokens, values = template(text)
+        words = _words(tokens, values)
+        for i, n, strong in _windows(tokens, window):
+            verbatim.setdefault(tuple(words[i : i + n]), []).append((item, nth, i))
+            if strong:
+                table.setdefault(tuple(tokens[i : i + n]), []).append(((item, nth, i), values[i : i + n]))
+    lengths = [sorted({len(k) for k in t}) for t in (table, verbatim)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-        for n in lengths:
-            hashes = [W.run_hashes(np.array([_constant(t) for t in k], np.uint64), n)[0] for k in table if len(k) == n]
-            known[n] = np.sort(np.array(hashes, np.uint64))
+        known: list[dict[int, np.ndarray]] = [{}, {}]
+        for which, keys in enumerate((table, verbatim)):
+            for n in lengths[which]:
+                hashes = [W.run_hashes(np.array([_constant(t) for t in k], np.uint64), n)[0] for k in keys if len(k) == n]
+                known[which][n] = np.sort(np.array(hashes, np.uint64))
         for batch in batches:
             for lo, hi, data, at in W.chunks(batch.column(1)):
-                hashes, _, first = template_hashes(data, at)
+                hashes, words, first = template_hashes(data, at)
                 hit = set()
-                for n in lengths:
+                for n in sorted({*lengths[0], *lengths[1]}):
                     begin, text = W.runs_within(first, n)
-                    if len(begin):
-                        runs = W.run_hashes(hashes, n)[begin]
-                        spot = np.searchsorted(known[n], runs)
-                        hit.update(text[known[n][np.minimum(spot, len(known[n]) - 1)] == runs].tolist())
+                    for tokens, there in zip((hashes, words), known, strict=True):
+                        if len(begin) and n in there:
+                            runs = W.run_hashes(tokens, n)[begin]
+                            spot = np.searchsorted(there[n], runs)
+                            hit.update(text[there[n][np.minimum(spot, len(there[n]) - 1)] == runs].tolist())
                 rows, found, counts, exact = [], [], [], []
                 for i in sorted(hit):
                     tokens, values = template(data[at[i] : at[i + 1]].tobytes())
+                    own = _words(tokens, values)
                     seen: dict[int, list[int]] = {}
-                    for n in lengths:
+                    for n in sorted({*lengths[0], *lengths[1]}):
                         for j in range(len(tokens) - n + 1):
-                            for item, slots in table.get(tuple(tokens[j : j + n]), ()):
-                                if consistent(slots, values[j : j + n]):
-                                    c = seen.setdefault(item, [0, 0])
-                                    c[0] += 1
-                                    c[1] += slots == values[j : j + n]
+                            same = set(verbatim.get(tuple(own[j : j + n]), ()))
+                            alike = {where for where, slots in table.get(tuple(tokens[j : j + n]), ()) if consistent(slots, values[j : j + n])}
+                            for where in same | alike:
+                                c = seen.setdefault(where[0], [0, 0])
+                                c[0] += 1
+                                c[1] += where in same
                     for item in sorted(seen):
                         rows.append(lo + i)
                         found.append(item)
                         counts.append(seen[item][0])
                         exact.append(seen[item][1])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.int64()), pa.array(counts, pa.int64()), pa.array(exact, pa.int64())], ["doc_id", "item_id", "n_windows", "n_exact"])
+                out = [pa.array(v, pa.int64()) for v in (found, counts, exact)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *out], ["doc_id", "item_id", "n_windows", "n_exact"])
 
     return run
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id, n_windows, n_exact): the pairs of a row of `docs` (doc_id, text) and an item of `benchmark` (item_id, text) that share a window of template tokens with consistent slots.
+    """(doc_id, item_id, n_windows, n_exact): the pairs of a row of `docs` (doc_id, text) and an item of `benchmark` (item_id, text) that share a window of template tokens with consistent slots, or a window of equal words.
 
-    n_windows counts the document's such windows, n_exact those whose slot values
-    are equal too.  An item of fewer than `window` tokens is one window; under
-    MIN_WINDOW tokens, or with more placeholders than plain words, it matches
-    nothing.  The benchmark goes to every task, so its text is checked to be under
+    n_windows counts the document's such windows, n_exact those whose words
+    are equal, but for case.  An item of fewer than `window` tokens is one window; under
+    MIN_WINDOW tokens, or with more placeholders than plain words, a window matches
+    only equal words.  The benchmark goes to every task, so its text is checked to be under
     MAX_BENCHMARK_MB; a larger one is taken in parts of that size, one pass each.
     Null and empty texts, on either side, match nothing; items without an id are
     ignored; repeated rows are reported each.

@@ -250,6 +250,15 @@ def test_op10_catches_other_parameters(spark):
     assert decontaminate.contaminated(docs, benchmark.limit(0)).collect() == []
 
 
+def test_op10_catches_verbatim_copies_of_any_item(spark):
+    """Short items, arithmetic, titles, capitals and lists of names have copies too; other values of theirs are other texts."""
+    items = ["Compute 12 + 35 * 7 - 4 / 2 + 81", "Name the largest moon", "THE CAPITAL OF FRANCE IS WHICH OF THESE FOUR CITIES THEN", "The Old Man And The Sea Was Written By Ernest Hemingway", "Anna, Boris, Clara, David, Emil, Fiona, Georg, Hanna, Ivan, Julia, Karl", "42"]
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    texts = [f"they ask, {t}, and go on" for t in items] + ["they ask, Compute 13 + 36 * 8 - 5 / 3 + 82, and go on", "Name the smallest moon", "Otto, Paula, Quirin, Rosa, Stefan, Tina, Udo, Vera, Willi, Xenia, Yann"]
+    got = {(r.doc_id, r.item_id, r.n_windows == r.n_exact) for r in decontaminate.contaminated(make(spark, texts), benchmark).collect()}
+    assert got == {(i, i, True) for i in range(len(items))}
+
+
 def test_op10_on_the_tables(spark, sample):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     found = {r.doc_id for r in queries.op10_benchmark_decontamination(spark, SF).collect()}
