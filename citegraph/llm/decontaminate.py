@@ -11,6 +11,7 @@ as templates; they, like all others, are also joined by their words, which must
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -107,7 +108,7 @@ def _words(tokens: list[bytes], values: list[bytes]) -> list[bytes]:
 
 
 def _match(items: list[tuple[int, bytes]], window: int):
-    """For each text the benchmark items that share a consistent window with it, with the number of such windows."""
+    """For each text the benchmark items that share a consistent window with it, with the number of such windows and the md5 of the text."""
     # By template: (item, number of the text, begin of the window) and its slots; by the words themselves: only the former.
     table: dict[tuple, list[tuple[tuple[int, int, int], list[bytes]]]] = {}
     verbatim: dict[tuple, list[tuple[int, int, int]]] = {}
@@ -137,9 +138,10 @@ def _match(items: list[tuple[int, bytes]], window: int):
                             runs = W.run_hashes(tokens, n)[begin]
                             spot = np.searchsorted(there[n], runs)
                             hit.update(text[there[n][np.minimum(spot, len(there[n]) - 1)] == runs].tolist())
-                rows, found, counts, exact = [], [], [], []
+                rows, found, counts, exact, keys = [], [], [], [], []
                 for i in sorted(hit):
-                    tokens, values = template(data[at[i] : at[i + 1]].tobytes())
+                    whole = data[at[i] : at[i + 1]].tobytes()
+                    tokens, values = template(whole)
                     own = _words(tokens, values)
                     seen: dict[int, list[int]] = {}
                     for n in sorted({*lengths[0], *lengths[1]}):
@@ -150,24 +152,26 @@ def _match(items: list[tuple[int, bytes]], window: int):
                                 c = seen.setdefault(where[0], [0, 0])
                                 c[0] += 1
                                 c[1] += where in same
+                    key = hashlib.md5(whole, usedforsecurity=False).hexdigest() if seen else ""
                     for item in sorted(seen):
                         rows.append(lo + i)
                         found.append(item)
                         counts.append(seen[item][0])
                         exact.append(seen[item][1])
+                        keys.append(key)
                 out = [pa.array(v, pa.int64()) for v in (found, counts, exact)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *out], ["doc_id", "item_id", "n_windows", "n_exact"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *out, pa.array(keys, pa.string())], ["doc_id", "item_id", "n_windows", "n_exact", "text_key"])
 
     return run
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(doc_id, item_id, n_windows, n_exact): the pairs of a row of `docs` (doc_id, text) and an item of `benchmark` (item_id, text) that share a window of template tokens with consistent slots, or a window of equal words.
+    """(doc_id, item_id, n_windows, n_exact, text_key): the pairs of a row of `docs` (doc_id, text) and an item of `benchmark` (item_id, text) that share a window of template tokens with consistent slots, or a window of equal words.
 
     n_windows counts the document's such windows, n_exact those whose words
     are equal, but for case.  An item of fewer than `window` tokens is one window; under
     MIN_WINDOW tokens, or with more placeholders than plain words, a window matches
-    only equal words.  The benchmark goes to every task, so its text is checked to be under
+    only equal words.  text_key is the md5 of the document's text.  The benchmark goes to every task, so its text is checked to be under
     MAX_BENCHMARK_MB; a larger one is taken in parts of that size, one pass each.
     Null and empty texts, on either side, match nothing; items without an id are
     ignored; repeated rows are reported each.
@@ -179,11 +183,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     out = None
     for p in range(parts):
         rows = [(r.item_id, r.text.encode()) for r in items.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == p).collect()]
-        found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_match(sorted(rows), window), f"doc_id {kind}, item_id long, n_windows long, n_exact long")
+        found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_match(sorted(rows), window), f"doc_id {kind}, item_id long, n_windows long, n_exact long, text_key string")
         out = found if out is None else out.unionByName(found)
     return out
 
 
 def keep_clean(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """The rows of `docs` without a match; a row without a doc_id is judged with all such rows together."""
-    return docs.join(found.select("doc_id").distinct(), docs["doc_id"].eqNullSafe(found["doc_id"]), "left_anti")
+    """The rows of `docs` without a match of their own: a row goes only if its doc_id, null or not, and its text are those of a match."""
+    key = F.md5(F.coalesce("text", F.lit("")))
+    matched = found.select(F.col("doc_id").alias("found_id"), F.col("text_key").alias("found_key")).distinct()
+    return docs.join(matched, F.col("doc_id").eqNullSafe(F.col("found_id")) & (key == F.col("found_key")), "left_anti")

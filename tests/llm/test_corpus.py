@@ -259,6 +259,15 @@ def test_op10_catches_verbatim_copies_of_any_item(spark):
     assert got == {(i, i, True) for i in range(len(items))}
 
 
+def test_pipeline_keeps_clean_rows_beside_a_match(spark):
+    """Rows without a doc_id, or with a repeated one, are judged each by its own text."""
+    item = "the quick brown fox jumps over the lazy dog near the old river bank"
+    docs = make(spark, ["so " + item, "a clean text", None, "so " + item, "another clean text", "so " + item], [None, None, None, 7, 7, 8])
+    found = decontaminate.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    got = [(r.doc_id, r.text) for r in decontaminate.keep_clean(docs, found).collect()]
+    assert sorted(got, key=str) == sorted([(None, "a clean text"), (None, None), (7, "another clean text")], key=str)
+
+
 def test_op10_on_the_tables(spark, sample):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     found = {r.doc_id for r in queries.op10_benchmark_decontamination(spark, SF).collect()}
