@@ -14,7 +14,7 @@ from citegraph.llm.shared import documents
 def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, class_id (the least doc_id of its near-duplicate class), kept."""
     classes = neardup.near_duplicate_classes(documents(spark, sf_dir))
-    return classes.select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
+    return classes.select("doc_id", "class_id", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_key") == F.col("class_key"))).alias("kept"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, item_id, n_windows, n_exact of every document and benchmark item that share a template window."""
-    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("text_key")
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

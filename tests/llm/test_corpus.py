@@ -93,6 +93,17 @@ def test_op3_edges(spark):
     assert neardup.near_duplicate_classes(make(spark, [])).collect() == []
     rows = neardup.near_duplicate_classes(make(spark, ["a b c d e f", "a b c d e f", None, "q"], [None, 4, None, 5])).collect()
     assert sorted((str(r.doc_id), str(r.class_id)) for r in rows) == [("4", "4"), ("5", "5"), ("None", "4"), ("None", "None")]
+    # Texts without an id, and several texts of one id, are compared like any other.
+    near = [" ".join([f"w{i}" for i in range(60)] + [tail]) for tail in ("p", "q", "r")]
+    other = " ".join(f"v{i}" for i in range(30))
+    odd = make(spark, [near[0], near[1], near[2], other, other + " x", None], [None, None, 9, 9, None, 9]).withColumnRenamed("key", "text_key").withColumn("class_id", F.lit(1))
+    classes = neardup.near_duplicate_classes(odd)
+    assert sorted(str(r.class_id) for r in classes.collect()) == ["9"] * 6
+    kept = neardup.keep_first(odd, classes)
+    assert kept.columns == odd.columns and sorted((r.text or "")[:2] for r in kept.collect()) == ["", "v0", "w0"]
+    assert {r.text_key for r in kept.collect()} == {"x"}
+    without = make(spark, [near[0], near[1], other], [None, None, None])
+    assert neardup.keep_first(without, neardup.near_duplicate_classes(without)).count() == 2
     docs = make(spark, ["a b c d e f"] * 3 + ["z"], [1, 1, 2, 3])
     assert sorted(r.doc_id for r in neardup.keep_first(docs, neardup.near_duplicate_classes(docs)).collect()) == [1, 3]
     assert connected_components(spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")).filter("label <> 0").count() == 0
@@ -214,23 +225,45 @@ def test_op6_meets_its_targets(spark):
     for r in rows:
         sizes[r.source] += r["size"]
         taken[r.source] += r.taken
-        assert r.taken in (0, r["size"], 2 * r["size"], 3 * r["size"]) and (r.part is None) == (r.copies == 0)
+        assert r.taken == r.copies * r["size"] and r.copies in (0, 1, 2, 3) and len(r.parts) == len(r.positions) == r.copies
     want = goals(sizes)
     for s, w in want.items():
         assert abs(taken[s] - w) <= 0.05 * w + 50
     assert all(r.target == pytest.approx(want[r.source]) and r.source_size == sizes[r.source] for r in rows)
-    again = {r.doc_id: (r.copies, r.part, r.position) for r in mixing.mix(docs.repartition(5)).collect()}
-    assert again == {r.doc_id: (r.copies, r.part, r.position) for r in rows}
-    parts = Counter(r.part for r in rows if r.part is not None)
-    assert len(parts) == 16
-    out = mixing.repeat_taken(docs, mixing.mix(docs))
-    assert out.columns == docs.columns and out.count() == sum(r.copies for r in rows)
+    again = {r.doc_id: (r.copies, r.parts, r.positions) for r in mixing.mix(docs.repartition(5)).collect()}
+    assert again == {r.doc_id: (r.copies, r.parts, r.positions) for r in rows}
+    parts = Counter(p for r in rows for p in r.parts)
+    assert len(parts) == 16 and max(parts.values()) < 2 * min(parts.values())
+    assert any(len(set(r.parts)) > 1 for r in rows)  # copies of a document go to parts of their own
+    out = mixing.repeated(docs)
+    assert out.columns == docs.columns and Counter(r.doc_id for r in out.collect()) == Counter({r.doc_id: r.copies for r in rows if r.copies})
+
+
+def test_op6_cuts_large_blocks(spark, monkeypatch):
+    """With tiny blocks allowed, a quota's end is found in blocks of blocks."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "source")
+    monkeypatch.setattr(mixing, "MOST_ZONE", 8)
+    monkeypatch.setattr(mixing, "ZONE", 3)
+    sizes, taken, want = Counter(), Counter(), {}
+    rows = mixing.mix(docs, blocks=3).collect()
+    for r in rows:
+        sizes[r.source] += r["size"]
+        taken[r.source] += r.taken
+        want[r.source] = r.target
+    assert len(rows) == docs.count() and {s: pytest.approx(w) for s, w in goals(sizes).items()} == want
+    largest = {r.source: max(x["size"] for x in rows if x.source == r.source) for r in rows}
+    assert all(abs(taken[s] - w) <= largest[s] for s, w in want.items())
+    assert Counter(r.doc_id for r in mixing.repeated(docs, blocks=3).collect()) == Counter({r.doc_id: r.copies for r in rows if r.copies})
 
 
 def test_op6_edges(spark):
     assert mixing.mix(make(spark, [])).collect() == []
-    rows = mixing.mix(make(spark, [None, "", "a b", "c", "c"], [None, 1, 2, 3, 3])).collect()
-    assert len(rows) == 5 and sum(r["size"] for r in rows) == 4
+    docs = make(spark, [None, "", "a b", "c", "c", "x " * 50_000], [None, 1, 2, 3, 3, 4]).withColumnRenamed("key", "zone")
+    rows = mixing.mix(docs).collect()
+    assert len(rows) == 6 and sum(r["size"] for r in rows) == 50_004
+    got = mixing.repeated(docs)
+    assert got.columns == docs.columns and got.count() == sum(r.copies for r in rows)
+    assert mixing.repeated(make(spark, [])).collect() == []
 
 
 def test_op10_catches_other_parameters(spark):
@@ -245,7 +278,7 @@ def test_op10_catches_other_parameters(spark):
     assert set(found) >= {0, 1} and not set(found) & {2, 3, 4, 6} and all(r.item_id == 1 for r in found.values())
     assert found[0].n_exact == found[0].n_windows and found[1].n_exact < found[1].n_windows
     assert found[5].n_windows < found[0].n_windows  # two slots that differ in the item are one here
-    assert sorted(r.doc_id for r in decontaminate.keep_clean(docs, decontaminate.contaminated(docs, benchmark)).collect()) == [2, 3, 4, 6]
+    assert sorted(r.doc_id for r in decontaminate.clean(docs, benchmark).collect()) == [2, 3, 4, 6]
     assert decontaminate.contaminated(make(spark, []), benchmark).collect() == []
     assert decontaminate.contaminated(docs, benchmark.limit(0)).collect() == []
 
@@ -263,11 +296,74 @@ def test_pipeline_keeps_clean_rows_beside_a_match(spark):
     """Rows without a doc_id, or with a repeated one, are judged each by its own text."""
     item = "the quick brown fox jumps over the lazy dog near the old river bank"
     docs = make(spark, ["so " + item, "a clean text", None, "so " + item, "another clean text", "so " + item], [None, None, None, 7, 7, 8])
-    found = decontaminate.contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
-    got = [(r.doc_id, r.text) for r in decontaminate.keep_clean(docs, found).collect()]
+    kept = decontaminate.clean(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == docs.columns and {r.key for r in kept.collect()} == {"x"}
+    got = [(r.doc_id, r.text) for r in kept.collect()]
     assert sorted(got, key=str) == sorted([(None, "a clean text"), (None, None), (7, "another clean text")], key=str)
 
 
+def test_op10_counts_a_window_once(spark):
+    """Whole results against a plain rule: a document's window counts once, whatever the item repeats."""
+    item = "one two three four five six seven eight nine ten one two three four five six seven eight nine ten"
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = make(spark, ["see one two three four five six seven eight nine ten there", item + " " + item, "nine ten one"])
+    got = {(r.doc_id, r.n_windows, r.n_exact) for r in decontaminate.contaminated(docs, benchmark).collect()}
+    assert got == {(0, 1, 1), (1, 31, 31)}
+    twice = spark.createDataFrame([(1, item), (1, item + " eleven")], "item_id long, text string")
+    assert {(r.doc_id, r.n_windows) for r in decontaminate.contaminated(docs.filter("doc_id = 0"), twice).collect()} == {(0, 1)}
+
+
+def test_op10_placeholders_of_any_form(spark):
+    """Numbers with separators, names of several words, and names that open sentences are one placeholder each."""
+    item = "Anna bought 900 crates. Boris sold them for 3 dollars. Clara paid 15 percent of it. David kept the rest until spring came"
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = [
+        "John Smith bought 1,250 crates. Mary sold them for 3.50 dollars. Ann Lee paid 15.5 percent of it. Bob kept the rest until spring came",
+        "John bought 7 crates. Mary sold them for 8 dollars. John paid 9 percent of it. Bob kept the rest until spring came",
+        "They bought some crates. We sold them for money. People paid part of it. All kept the rest",
+    ]
+    got = {r.doc_id: r.n_windows for r in decontaminate.contaminated(make(spark, texts), benchmark).collect()}
+    assert set(got) == {0, 1}
+    assert decontaminate.template(b"A 1,250.75 kg load of John Smith. Mary Ann 7. 8") == ([b"a", b"\x01", b"\x03", b"load", b"of", b"\x02", b"mary", b"\x02", b"\x01", b"\x01"], [b"", b"1,250.75", b"kg", b"", b"", b"john smith", b"", b"ann", b"7", b"8"])
+
+
+@pytest.mark.parametrize("opening", [False, True])
+def test_op10_both_ways_to_a_template_agree(opening):
+    rng = random.Random(12)
+    parts = ["Ann", "bob", "12", "3.5", "1,000", "kg", "Kg", "mm", ".", ",", "!", " ", " ", " ", "\n", "é", "Éa", "x9", "9x", "Total", "", "A"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 30))).encode() for _ in range(300)] + [b"", b"Ann", b"5", b"word " * 40_000]
+    data, at = np.frombuffer(b"".join(texts), np.uint8), np.append(0, np.cumsum([len(t) for t in texts]))
+    hashes, first, words, first_word = decontaminate.template_hashes(data, at, opening)
+    for i, t in enumerate(texts):
+        tokens, values = decontaminate.template(t, opening)
+        assert [decontaminate._constant(x) for x in tokens] == hashes[first[i] : first[i + 1]].tolist(), t
+        assert [decontaminate._constant(x) for x in decontaminate.plain(t)] == words[first_word[i] : first_word[i + 1]].tolist(), t
+
+
+def plain_matches(text: str, item: str) -> tuple[int, int]:
+    """n_windows and n_exact by comparing all windows with all."""
+    sides = [(decontaminate.template(x.encode(), o), decontaminate.plain(x.encode())) for x in (text, item) for o in (False, True)]
+    found = []
+    for (mine, values), (theirs, slots) in ((sides[0][0], sides[2][0]), (sides[1][0], sides[3][0])):
+        n = min(decontaminate.WINDOW, len(theirs))
+        good = [b for b in range(len(theirs) - n + 1) if n >= decontaminate.MIN_WINDOW and 2 * sum(t not in (b"\x01", b"\x02", b"\x03") for t in theirs[b : b + n]) >= n]
+        found.append(sum(any(mine[j : j + n] == theirs[b : b + n] and decontaminate.consistent(slots[b : b + n], values[j : j + n]) for b in good) for j in range(len(mine) - n + 1)))
+    mine, theirs = sides[0][1], sides[2][1]
+    n = min(decontaminate.WINDOW, len(theirs))
+    exact = sum(any(mine[j : j + n] == theirs[b : b + n] for b in range(len(theirs) - n + 1)) for j in range(len(mine) - n + 1)) if n else 0
+    return max(found[0] or found[1], exact), exact
+
+
+def test_op10_equals_all_windows(spark, sample):
+    """Every count of the whole result, and pairs that are not in it, against all pairs of windows."""
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    got = {(r.doc_id, r.item_id): (r.n_windows, r.n_exact) for r in queries.op10_benchmark_decontamination(spark, SF).collect()}
+    texts = {r.doc_id: r.text for r in sample.collect()}
+    rng = random.Random(1)
+    for doc, item in [*got, *((rng.choice(list(texts)), rng.choice(list(items))) for _ in range(150))]:
+        assert got.get((doc, item), (0, 0)) == plain_matches(texts[doc], items[item])
+
+
 def test_op10_on_the_tables(spark, sample):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     found = {r.doc_id for r in queries.op10_benchmark_decontamination(spark, SF).collect()}
