@@ -18,13 +18,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegraph.llm import words as W
-from citegraph.llm.shared import by_value, written
+from citegraph.llm.shared import by_value, discard, written
 
 by_value(__name__)
 
 FEATURES, GRAMS = 1 << 13, (1, 2, 3)
 #: The bound of the training sample, over all languages.
 MAX_TRAINING_ROWS = 4000
+MAX_LANGUAGES = 1000
+DF_TASKS = 8
 UNKNOWN = "und"
 _FOLD: list[np.ndarray] = []
 
@@ -74,15 +76,18 @@ def _pieces(col: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
             yield a, b, data[at[a - lo] : at[b - lo]], at[a - lo : b - lo + 1] - at[a - lo]
 
 
+_SURVEY = pa.schema([("lang", pa.string()), ("spot", pa.float64()), ("n", pa.int64()), ("features", pa.binary()), ("counts", pa.binary())])
+
+
+def _packed(features: np.ndarray, counts: np.ndarray) -> dict[str, bytes]:
+    return {"features": features.astype("<u2").tobytes(), "counts": counts.astype("<i8").tobytes()}
+
+
 def _survey(share: dict[str, float]):
-    """One row for each task with document frequencies, and one for each row of the sample with its counts."""
+    """One row for each task with document frequencies (no lang), and one for each row of the sample with its counts, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, seen = np.zeros(FEATURES, np.int64), 0
-
-        def table(rows):
-            return pa.RecordBatch.from_pylist(rows, schema=pa.schema([("lang", pa.string()), ("spot", pa.float64()), ("n", pa.int64()), ("features", pa.list_(pa.int32())), ("counts", pa.list_(pa.int64()))]))
-
         for batch in batches:
             langs, spots, out = batch.column(0).to_pylist(), batch.column(1).to_pylist(), []
             for lo, hi, data, at in _pieces(batch.column(2)):
@@ -93,16 +98,27 @@ def _survey(share: dict[str, float]):
                 for i in range(hi - lo):
                     if letters[i] and spots[lo + i] < share.get(langs[lo + i], 0):
                         a, b = cut[i], cut[i + 1]
-                        out.append({"lang": langs[lo + i], "spot": spots[lo + i], "n": 1, "features": feature[a:b].tolist(), "counts": count[a:b].tolist()})
+                        out.append({"lang": langs[lo + i], "spot": spots[lo + i], "n": 1, **_packed(feature[a:b], count[a:b])})
             if out:
-                yield table(out)
+                yield pa.RecordBatch.from_pylist(out, schema=_SURVEY)
         if seen:
             there = np.flatnonzero(df)
-            yield table([{"lang": None, "spot": None, "n": seen, "features": there.tolist(), "counts": df[there].tolist()}])
+            yield pa.RecordBatch.from_pylist([{"lang": None, "spot": None, "n": seen, **_packed(there, df[there])}], schema=_SURVEY)
 
     return run
 
 
+def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The document frequencies of all rows of a task as one row."""
+    df, seen = np.zeros(FEATURES, np.int64), 0
+    for batch in batches:
+        seen += sum(batch.column("n").to_pylist())
+        for f, c in zip(batch.column("features"), batch.column("counts"), strict=True):
+            df[np.frombuffer(f.as_py(), "<u2")] += np.frombuffer(c.as_py(), "<i8")
+    there = np.flatnonzero(df)
+    yield pa.RecordBatch.from_pylist([{"lang": None, "spot": None, "n": seen, **_packed(there, df[there])}], schema=_SURVEY)
+
+
 @dataclasses.dataclass
 class Model:
     """langs, idf by feature, weights (features x langs), bias and temperature."""
@@ -167,33 +183,40 @@ def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 def train(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model:
     """A model from the rows of `docs` (doc_id, text, lang) with a lang and a text; what the caller holds out must not be among them.
 
-    Document frequencies are counted over all these rows.  At most about
-    `max_rows` rows, as many of each language as there are, chosen by a hash of
+    Document frequencies are counted over all these rows.  About `max_rows` rows and never more than
+    twice as many, as many of each language as there are, chosen by a hash of
     doc_id and text, train the weights; every seventh of them the temperature
-    alone.  Without rows the model knows no language.
+    alone.  Repeated rows and ties of the hash are rows like any other.  Without rows
+    the model knows no language; more than MAX_LANGUAGES of them are an error, as the
+    model has FEATURES weights for each.
     """
     # Repeated rows and copies of one document fall together, so a hash below a share takes them all; the bound below holds anyhow.
     spot = (F.xxhash64("doc_id", F.length("text")).cast("double") / 2.0**64) + 0.5
     rows = docs.filter("lang is not null and text is not null")
-    totals = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    totals = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
+    if len(totals) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     each = max_rows / max(1, len(totals))
     share = {lang: min(1.0, each / n) for lang, n in totals.items()}
-    seen = written(rows.select("lang", spot.alias("spot"), "text").mapInArrow(_survey(share), "lang string, spot double, n long, features array<int>, counts array<long>"), "langid")
-    total = seen.filter("lang is null").agg(F.sum("n")).first()[0] or 0
-    pairs = seen.filter("lang is null").select(F.explode(F.arrays_zip("features", "counts")).alias("p")).groupBy("p.features").agg(F.sum("p.counts").alias("df")).collect()
-    idf = np.full(FEATURES, np.log(1 + total) + 1)
-    for r in pairs:
-        idf[r.features] = np.log((1 + total) / (1 + r.df)) + 1
-    sample = seen.filter("lang is not null").orderBy("spot", "lang", "features").limit(2 * max_rows).collect()
+    kind = "lang string, spot double, n long, features binary, counts binary"
+    seen = written(rows.select("lang", spot.alias("spot"), "text").mapInArrow(_survey(share), kind), "langid")
+    # Each task leaves one row of at most FEATURES numbers; they are added up in tasks again before the last few come here.
+    frequencies = seen.filter("lang is null").repartition(DF_TASKS).mapInArrow(_add_up, kind).toArrow()
+    idf, total = np.zeros(FEATURES), sum(frequencies["n"].to_pylist())
+    for f, c in zip(frequencies["features"], frequencies["counts"], strict=True):
+        idf[np.frombuffer(f.as_py(), "<u2")] += np.frombuffer(c.as_py(), "<i8")
+    idf = np.log((1 + total) / (1 + idf)) + 1
+    # Packed numbers in Arrow buffers: the driver holds the sample once, some 3 kB a row.
+    sample = seen.filter("lang is not null").orderBy("spot", "lang", "features", "counts").limit(2 * max_rows).select("lang", "features", "counts").toArrow()
     langs = sorted(totals)
-    examples = []
-    for r in sample:
-        f, c = np.array(r.features), np.array(r.counts)
+    fitted, unseen = [], []
+    for i in range(sample.num_rows):
+        f, c = np.frombuffer(sample["features"][i].as_py(), "<u2").astype(np.int32), np.frombuffer(sample["counts"][i].as_py(), "<i8")
         v = (1 + np.log(c)) * idf[f]
-        examples.append((f, v / np.sqrt((v * v).sum()), langs.index(r.lang)))
-    fitted = [e for i, e in enumerate(examples) if i % 7]
+        (fitted if i % 7 else unseen).append((f, (v / np.sqrt((v * v).sum())).astype(np.float32), langs.index(sample["lang"][i].as_py())))
+    del sample
+    discard(seen)
     weights, bias = fit_ftrl(fitted, len(langs)) if langs else (np.zeros((FEATURES, 0)), np.zeros(0))
-    unseen = examples[::7]
     logits = np.array([v @ weights[f] + bias for f, v, _ in unseen]).reshape(len(unseen), len(langs))
     return Model(langs, idf, weights, bias, _temperature(logits, np.array([k for *_, k in unseen], int)))
 
@@ -213,20 +236,38 @@ def _predict(model: Model):
                 langs.append(lang)
                 scores.append(score)
             kept = [batch.column(i) for i in range(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(langs), pa.string()), pa.array(np.concatenate(scores))], [*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(np.concatenate(langs), pa.string()), pa.array(np.concatenate(scores))], [f"c{i}" for i in range(len(kept) + 2)])
 
     return run
 
 
 def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """The columns `keep` of `docs` with lang_pred and score (calibrated probability) of each whole text.
+    """The columns `keep` of `docs` with lang_pred and score (calibrated probability) of each whole text; two columns of those names in `keep` are an error.
 
     A text that is null or has no letter, and every text if the model knows no
     language, is `und` with score 0.  Ties go to the language first by code point.
+    Repeated rows are judged alike; an empty table gives an empty one.
     """
-    kept = docs.select(*keep, F.coalesce("text", F.lit("")).alias("__text"))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(_predict(model), f"{schema}, lang_pred string, score double")
+    if {"lang_pred", "score"} & set(keep):
+        raise ValueError("lang_pred and score are columns of the result")
+    judged = _judged(docs, model, *keep)
+    return judged.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(keep)], F.col(f"c{len(keep)}").alias("lang_pred"), F.col(f"c{len(keep) + 1}").alias("score"))
+
+
+def _judged(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
+    """`keep` as c0, c1, ..., then the language and the score."""
+    kept = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.coalesce("text", F.lit("")).alias("text"))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
+    return kept.mapInArrow(_predict(model), f"{schema}, c{len(keep)} string, c{len(keep) + 1} double")
+
+
+def confident(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of `docs`, with all their columns whatever their names, whose text has a language of at least `least`; if the model knows none, those with a letter."""
+    if not model.langs:
+        return docs.filter(F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"\p{L}")))
+    n = len(docs.columns)
+    judged = _judged(docs, model, *docs.columns).filter((F.col(f"c{n}") != UNKNOWN) & (F.col(f"c{n + 1}") >= least))
+    return judged.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])
 
 
 def held_out() -> Column:
