@@ -22,13 +22,16 @@ from pyspark.sql import functions as F
 
 from citegraph.llm import words as W
 from citegraph.llm.components import connected_components
-from citegraph.llm.shared import broadcast_if_small, by_value, written
+from citegraph.llm.shared import broadcast_if_small, by_value, discard, written
 
 by_value(__name__)
 
-SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 4
-#: Members of one bucket that are compared at once.
-BLOCK = 256
+#: Two texts of similarity exactly 0.8 share no band with probability (1 - 0.8**5)**24 = 7e-5, of 0.85 with 1e-6, of 0.5 with 0.47.
+SHINGLE, SIMILARITY, BANDS, ROWS = 5, 0.8, 24, 5
+#: Members of one bucket, and shingles of them, that are compared at once.
+BLOCK, BLOCK_ITEMS = 256, 400_000
+#: Pairs of one leader that meet one copy of its bag.
+SALT = 1024
 
 
 def bags(data: np.ndarray, at: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -76,18 +79,23 @@ def signatures(text: np.ndarray, shingles: np.ndarray, weights: np.ndarray, text
         flat = np.full(texts * size, np.inf)
         mine = np.flatnonzero(todo[text])
         t_text, t_seed, t_rate, t_low, t_limit = text[mine], seed[mine], rate[mine], low[mine], limit[mine]
-        time, step = np.zeros(len(mine)), 0
-        while len(t_text):
-            step += 1
-            z = W.mix(t_seed + np.uint64(step * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
-            time = time - np.log(((z >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / t_rate
-            alive = np.flatnonzero(time <= until[t_text])
-            t_text, t_seed, t_rate, t_low, t_limit, time, z = (x[alive] for x in (t_text, t_seed, t_rate, t_low, t_limit, time, z))
-            z = W.mix(z ^ np.uint64(0xD1B54A32D192ED03))
+        time, step, ahead = np.zeros(len(mine)), 0, 1
+        while len(t_text):  # the next 1, 2, 4, ... points of every process that is still early enough
+            steps = np.arange(step + 1, step + ahead + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            z = W.mix(t_seed[:, None] + steps)
+            times = -np.log(((z >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / t_rate[:, None]
+            times[:, 0] += time
+            np.cumsum(times, 1, out=times)
+            who, which = np.nonzero(times <= until[t_text][:, None])
+            z, at = W.mix(z[who, which] ^ np.uint64(0xD1B54A32D192ED03)), times[who, which]
             register = ((z >> np.uint64(32)) * np.uint64(size)) >> np.uint64(32)
-            spot = t_low + ((z & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * t_rate).astype(np.int64)
-            kept = np.flatnonzero(spot < t_limit)
-            np.minimum.at(flat, t_text[kept] * size + register[kept].astype(np.int64), time[kept])
+            spot = t_low[who] + ((z & np.uint64(0xFFFFFFFF)).astype(np.float64) * 2.0**-32 * t_rate[who]).astype(np.int64)
+            kept = np.flatnonzero(spot < t_limit[who])
+            np.minimum.at(flat, t_text[who[kept]] * size + register[kept].astype(np.int64), at[kept])
+            time = times[:, -1]
+            alive = np.flatnonzero(time <= until[t_text])
+            t_text, t_seed, t_rate, t_low, t_limit, time = (x[alive] for x in (t_text, t_seed, t_rate, t_low, t_limit, time))
+            step, ahead = step + ahead, min(2 * ahead, 64)
         flat = flat.reshape(texts, size)
         full = todo & np.isfinite(flat).all(1)
         out[full] = flat[full]
@@ -116,7 +124,8 @@ def _sign(bands: int, rows: int, k: int):
                 text, shingles, weights = bags(data, at, k)
                 keys = band_keys(signatures(text, shingles, weights, hi - lo, bands * rows), bands, rows)
                 some = np.bincount(text, minlength=hi - lo) > 0
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], _lists(keys[some].ravel(), some * bands)], ["doc_id", "text_key", "bands"])
+                size = pa.array(np.bincount(text, weights, hi - lo).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], size, _lists(keys[some].ravel(), some * bands)], ["doc_id", "text_key", "size", "bands"])
 
     return run
 
@@ -129,7 +138,7 @@ def _bag(k: int):
                 # The j-th copy of a shingle is an element of its own: overlap of bags becomes overlap of sets.
                 nth = np.arange(weights.sum()) - np.repeat(np.cumsum(weights) - weights, weights)
                 items = (W.mix(np.repeat(shingles, weights) + (nth.astype(np.uint64) << np.uint64(48)))).view(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], _lists(items, np.bincount(text, weights, hi - lo).astype(np.int64))], ["rep", "bag"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], _lists(items, np.bincount(text, weights, hi - lo).astype(np.int64))], ["tid", "bag"])
 
     return run
 
@@ -138,7 +147,7 @@ def _compare(similarity: float):
     """Links between the queries and the targets of one block pair, at most one for each two components."""
 
     def run(table: pa.Table) -> pa.Table:
-        reps, comps = table["rep"].to_numpy(), table["comp"].to_numpy()
+        reps, comps = table["tid"].to_numpy(), table["comp"].to_numpy()
         role, lists = table["is_query"].to_numpy(), table["bag"].combine_chunks()
         lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
         off, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
@@ -171,69 +180,81 @@ def _compare(similarity: float):
 
 
 def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, text_key, class_id) for every row of `docs` (doc_id, text, any more columns).
+    """(doc_id, text_key, class_id, class_key) for every row of `docs` (doc_id, text, any more columns).
 
     Two texts are linked if their bags of shingles have a weighted Jaccard
-    similarity of at least `similarity`; classes are the connected components,
-    named by their least doc_id.  Equal texts are one class and are signed once
-    more only as one text.  A bucket of any size is finished exactly: first all
-    members against the least one, then, where a bucket still spans several
+    similarity of at least `similarity`; classes are the connected components.
+    A class is named by the least doc_id of its rows, class_id, and by the
+    text_key (md5) of the text that has it, class_key; of several texts with that
+    doc_id the least key counts.  Texts are compared whatever their doc_id; a class
+    without any has a null class_id.  A bucket of any size is finished exactly: first
+    all members against the least one, then, where a bucket still spans several
     components, those outside its largest component against all, in blocks.
 
     A null text counts as an empty one.  Texts without words are alike only if
-    equal.  A row with a null doc_id takes part in no class but that of its
-    equal texts, and has a null class if none of them has an id.  Repeated rows
-    come out as often as they went in.
+    equal.  Repeated rows come out as often as they went in.  An empty table gives
+    an empty one.
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
-    signed = written(source.mapInArrow(_sign(bands, rows, shingle), "doc_id long, text_key string, bands array<long>"), "signed")
-    texts = written(signed.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "texts")
+    signed = written(source.mapInArrow(_sign(bands, rows, shingle), "doc_id long, text_key string, size long, bands array<long>"), "signed")
+    texts = signed.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"))
+    texts = written(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
 
-    keyed = texts.filter("rep is not null").select("rep", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).filter("n > 1")
+    keyed = texts.select("tid", "size", F.explode("bands").alias("key"))
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("tid", "size")).alias("leader")).filter("n > 1")
     members = written(keyed.join(buckets, "key"), "members")
 
-    wanted = members.select("rep").distinct()
-    text_of = docs.select(F.col("doc_id").cast("long").alias("rep"), F.coalesce("text", F.lit("")).alias("text"))
-    bagged = written(text_of.join(broadcast_if_small(wanted), "rep", "left_semi").dropDuplicates(["rep"]).mapInArrow(_bag(shingle), "rep long, bag array<long>"), "bags")
-
-    pairs = members.filter("rep <> leader").select("rep", "leader").distinct()
-    overlap = F.size(F.array_intersect("bag", "bag2"))
+    wanted = members.select("tid").distinct().join(texts.select("tid", "text_key", "rep"), "tid")
+    wanted = written(wanted, "wanted")
+    bodies = source.join(broadcast_if_small(wanted), (source["text_key"] == wanted["text_key"]) & source["doc_id"].eqNullSafe(wanted["rep"])).select("tid", "text").dropDuplicates(["tid"])
+    bagged = written(bodies.mapInArrow(_bag(shingle), "tid long, bag array<long>"), "bags")
+    discard(wanted)
+
+    # A leader's bag goes out in as many copies as its largest bucket needs, so that no task holds all of its pairs.
+    least, most = F.least("size", "leader.size"), F.greatest("size", "leader.size")
+    near = members.filter((F.col("tid") != F.col("leader.tid")) & (least >= F.lit(similarity) * most - F.lit(1e-6)))
+    pairs = near.groupBy("tid", F.col("leader.tid").alias("leader")).agg(F.max("n").alias("n"))
+    pairs = written(pairs.select("tid", "leader", F.ceil(F.col("n") / SALT).cast("int").alias("copies")).withColumn("copy", F.pmod(F.xxhash64("tid"), "copies").cast("int")), "pairs")
+    leaders = pairs.select("leader", "copies").distinct().join(bagged.select(F.col("tid").alias("leader"), F.col("bag").alias("bag2")), "leader")
+    leaders = leaders.withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
     linked = (
-        pairs.join(bagged, "rep").join(bagged.select(F.col("rep").alias("leader"), F.col("bag").alias("bag2")), "leader")
-        .withColumn("shared", overlap)
+        pairs.join(bagged, "tid").join(leaders, ["leader", "copies", "copy"])
+        .withColumn("shared", F.size(F.array_intersect("bag", "bag2")))
         .filter(F.col("shared") >= F.lit(similarity) * (F.size("bag") + F.size("bag2") - F.col("shared")) - F.lit(1e-6))
-        .select(F.col("rep").alias("a"), F.col("leader").alias("b"))
-    )
+        .select(F.col("tid").alias("a"), F.col("leader").alias("b"))
+    )
     labels = connected_components(written(linked, "links"))
+    discard(pairs)
 
-    members = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("comp"))
-    split = members.groupBy("key").agg(F.first("n").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("set")).filter("n > 2 and least <> most")
+    members = members.join(labels.withColumnRenamed("id", "tid"), "tid", "left").select("key", "tid", "n", "size", F.coalesce("label", "tid").alias("comp"))
+    split = members.groupBy("key").agg(F.first("n").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.sum(F.xxhash64("tid").cast("decimal(38,0)")).alias("set")).filter("n > 2 and least <> most")
     split = split.groupBy("n", "set").agg(F.min("key").alias("key"))  # buckets of the same members need one look
     open_members = written(members.join(split.select("key"), "key"), "open")
-    largest = open_members.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"))
+    groups = open_members.groupBy("key", "comp").agg(F.count("*").alias("m"), F.sum("size").alias("items"))
+    largest = groups.groupBy("key").agg(F.max(F.struct("m", "comp", "items")).alias("top"), F.sum("items").alias("items"))
     asked = open_members.join(largest, "key").withColumn("is_query", F.col("comp") != F.col("top.comp"))
-    blocks = asked.withColumn("q_blocks", F.ceil((F.col("n") - F.col("top.m")) / BLOCK).cast("int")).withColumn("t_blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("spot", F.xxhash64("rep"))
-    queries = blocks.filter("is_query").select("key", "rep", "comp", F.lit(True).alias("is_query"), F.pmod("spot", "q_blocks").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("t_blocks") - 1)).alias("tb"))
-    targets = blocks.select("key", "rep", "comp", F.lit(False).alias("is_query"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"), F.pmod("spot", "t_blocks").alias("tb"))
-    asked = queries.select("key", "rep", "comp", "is_query", F.col("qb").cast("int"), "tb").unionByName(targets.select("key", "rep", "comp", "is_query", "qb", F.col("tb").cast("int")))
-    rest = asked.join(bagged, "rep").groupBy("key", "qb", "tb").applyInArrow(_compare(similarity), "a long, b long")
+    pieces = lambda n, items: F.ceil(F.greatest(n / BLOCK, items / BLOCK_ITEMS)).cast("int")
+    blocks = asked.withColumn("q_blocks", pieces(F.col("n") - F.col("top.m"), F.col("items") - F.col("top.items"))).withColumn("t_blocks", pieces(F.col("n"), F.col("items"))).withColumn("spot", F.xxhash64("tid"))
+    queries = blocks.filter("is_query").select("key", "tid", "comp", F.lit(True).alias("is_query"), F.pmod("spot", "q_blocks").cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("t_blocks") - 1)).alias("tb"))
+    targets = blocks.select("key", "tid", "comp", F.lit(False).alias("is_query"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"), F.pmod("spot", "t_blocks").cast("int").alias("tb"))
+    rest = queries.unionByName(targets).join(bagged, "tid").groupBy("key", "qb", "tb").applyInArrow(_compare(similarity), "a long, b long")
     merged = connected_components(written(rest.distinct(), "rest"))
+    discard(open_members, bagged)
 
     labels = labels.unionByName(merged.join(labels, "id", "left_anti").select("id", F.col("id").alias("label"))).alias("l").join(merged.select(F.col("id").alias("label"), F.col("label").alias("low")), "label", "left")
-    labels = labels.select(F.col("id").alias("rep"), F.coalesce("low", "label").alias("label"))
-    named = texts.select("text_key", "rep").join(labels, "rep", "left").select("text_key", F.coalesce("label", "rep").alias("class_id"))
-    return signed.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "text_key", "class_id")
+    placed = texts.select("tid", "text_key", "rep").join(labels.select(F.col("id").alias("tid"), F.coalesce("low", "label").alias("label")), "tid", "left")
+    placed = written(placed.select("text_key", "rep", F.coalesce("label", "tid").alias("label")), "placed")
+    names = placed.groupBy("label").agg(F.min(F.struct(F.isnull("rep").alias("none"), "rep", "text_key")).alias("name"))
+    named = placed.join(names, "label").select("text_key", F.col("name.rep").alias("class_id"), F.col("name.text_key").alias("class_key"))
+    return signed.select("doc_id", "text_key").join(named, "text_key").select("doc_id", "text_key", "class_id", "class_key")
 
 
 def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The rows of `docs` that stand for their class, one a class: that of the least doc_id, and only one of repeated rows.
-
-    Rows without a doc_id stay if no row with an id has their text; equal ones once.
-    """
+    """The rows of `docs`, with all their columns, that name their class in `classes`, one a class, and only one of repeated rows."""
     key = F.md5(F.coalesce("text", F.lit("")))
-    first = classes.filter("doc_id <=> class_id").groupBy("doc_id", "text_key").agg(F.count("*").alias("copies"))
-    rows = docs.withColumn("text_key", key).alias("d").join(first.alias("f"), (F.col("d.doc_id").eqNullSafe(F.col("f.doc_id"))) & (F.col("d.text_key") == F.col("f.text_key"))).select("d.*", "copies")
-    single = rows.filter("copies = 1").drop("copies")
-    repeated = rows.filter("copies > 1").drop("copies").dropDuplicates(["doc_id", "text_key"])
-    return single.unionByName(repeated).drop("text_key")
+    first = classes.filter("doc_id <=> class_id and text_key = class_key").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.count("*").alias("__copies"))
+    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("f.__id")) & (key == F.col("f.__key"))
+    rows = docs.alias("d").join(first.alias("f"), same).select("d.*", "f.*")
+    single = rows.filter("__copies = 1")
+    repeated = rows.filter("__copies > 1").dropDuplicates(["__id", "__key"])
+    return single.unionByName(repeated).drop("__id", "__key", "__copies")

@@ -15,7 +15,8 @@ from citegraph.llm.shared import by_value
 
 by_value(__name__)
 
-CHUNK = 2 << 20
+#: Bytes of text whose words are hashed at once; a longer text is a piece of its own.
+CHUNK = 512 << 10
 _BASE = 0x9E3779B97F4A7C15 | 1
 _RUN = 0xD6E8FEB86659FD93 | 1
 _TABLES: dict = {}
