@@ -22,30 +22,29 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Where no row has a language label nothing can be learned, and only texts without letters go.
     """
     model = langid.train(docs.filter(~langid.held_out()).select("doc_id", "text", "lang"))
-    if not model.langs:
-        return docs.filter(F.regexp_like(F.coalesce("text", F.lit("")), F.lit(r"\p{L}")))
-    judged = langid.predict(docs.withColumn("text_kept", F.col("text")), model, *[c for c in docs.columns if c != "text"], "text_kept")
-    return judged.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).withColumnRenamed("text_kept", "text").select(docs.columns)
+    return langid.confident(docs, model, LEAST_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near duplicates, that of the least doc_id."""
-    return neardup.keep_first(docs, neardup.near_duplicate_classes(docs)).select(docs.columns)
+    """One document of each class of near duplicates, that of the least doc_id; a class without any keeps the text of the least md5.
+
+    Null texts are one empty text, repeated rows one row.
+    """
+    return neardup.keep_first(docs, neardup.near_duplicate_classes(docs))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that share no consistent template window with a benchmark item."""
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return decontaminate.keep_clean(docs, found).select(docs.columns)
+    """Documents that share no consistent template window with a benchmark item; each row is judged by its own text, null and empty ones are clean."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it."""
-    return mixing.repeat_taken(docs, mixing.mix(docs)).select(docs.columns)
+    """Every document as often as the mix takes it: its source's share of words decides; null texts have no words and are taken by their source's whole rounds alone."""
+    return mixing.repeated(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, text_crc32, old_shard, shard, slot of every row."""
+    """doc_id, size, text_crc32, old_shard, shard, slot of every row; null texts have the size 1."""
     placed, _ = reshard.reshard(docs)
     return placed
 
@@ -57,7 +56,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
+    """All stages over documents; an empty table gives an empty one, further columns are carried up to the last stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
