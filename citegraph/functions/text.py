@@ -117,12 +117,7 @@ def extract_json(text: str | None) -> dict | None:
 
 def condense(payload: dict, items: int = 5, letters: int = 600) -> dict:
     """A payload with long lists and strings cut, and how much was."""
-    out: dict = {}
-    for key, value in payload.items():
-        if isinstance(value, list) and len(value) > items:
-            out |= {key: value[:items], f"{key}_truncated": len(value) - items}
-        elif isinstance(value, str) and len(value) > letters:
-            out[key] = value[:letters] + " ..."
-        else:
-            out[key] = value
-    return out
+    lists = {k: v for k, v in payload.items() if isinstance(v, list)}
+    short = {k: v[:items] for k, v in lists.items()} | {k: v if len(v) <= letters else f"{v[:letters]} ..." for k, v in payload.items() if isinstance(v, str)}
+    left_out = {f"{k}_truncated": n for k, v in lists.items() if (n := len(v) - items) > 0}
+    return payload | short | left_out

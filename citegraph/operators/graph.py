@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citegraph.functions.text import resolve_relative
+from citegraph.sources.scratch import written
 
 CALLS, CONTAINS = "calls", "contains"
 EDGE = "src string, dst string, type string, call string, resolver string"
@@ -136,15 +137,25 @@ def summary(graph: CodeGraph) -> dict:
     return {"nodes": graph.chunks.count(), "call_edges": by_type.get(CALLS, 0), "contains_edges": by_type.get(CONTAINS, 0), "modules": ends.count(), "module_edges": graph.module_edges.count(), **resolution_stats(graph.call_sites).first().asDict()}
 
 
-def ordered_neighbours(edges: DataFrame, include_siblings: bool = False) -> DataFrame:
-    """(node, relation, other): callees (0), callers (1) and siblings (2), each once."""
+def ordered_neighbours(edges: DataFrame, include_siblings: bool = False, cap: int | None = None) -> DataFrame:
+    """(node, relation, other): callees (0), callers (1) and siblings (2), each once; of each node only the first `cap` in that order and by id.
+
+    Of what a container holds, each child needs no more than the first cap + 1
+    as siblings, so a container of any size costs that many rows a child.
+    """
     calls = edges.filter(F.col("type") == CALLS).select("src", "dst").distinct()
     out = calls.select(F.col("src").alias("node"), F.lit(0).alias("relation"), F.col("dst").alias("other")).union(calls.select(F.col("dst"), F.lit(1), F.col("src")))
     if include_siblings:
         inside = edges.filter(F.col("type") == CONTAINS).select("src", "dst").distinct()
-        pairs = inside.select("src", F.col("dst").alias("node")).join(inside.select("src", F.col("dst").alias("other")), "src").filter("node <> other")
+        first = inside if cap is None else _first(inside, "src", cap + 1, "dst")
+        pairs = inside.select("src", F.col("dst").alias("node")).join(first.select("src", F.col("dst").alias("other")), "src").filter("node <> other")
         out = out.union(pairs.select("node", F.lit(2), "other").distinct())
-    return out
+    return out if cap is None else _first(out, "node", cap, "relation", "other")
+
+
+def _first(rows: DataFrame, by: str, n: int, *order: str) -> DataFrame:
+    """The first n rows of each value of `by`; tasks keep n of each before any are shuffled."""
+    return rows.withColumn("__at", F.row_number().over(Window.partitionBy(by).orderBy(*order))).filter(F.col("__at") <= n).drop("__at")
 
 
 def expand(seeds: DataFrame, edges: DataFrame, costs: DataFrame, token_budget: int = 6000, max_hops: int = 2, decay: float = 0.5, include_siblings: bool = False, cap: int = 12) -> DataFrame:
@@ -158,17 +169,15 @@ def expand(seeds: DataFrame, edges: DataFrame, costs: DataFrame, token_budget: i
     discovery whose costs fit the budget; the first seed always is.  All queries walk
     at once: one join a hop.
     """
-    around = ordered_neighbours(edges, include_siblings)
+    around = written(ordered_neighbours(edges, include_siblings, cap), "around")
     known = costs.select("chunk_id", "cost")
     # As seeds repeat, the first mention of a chunk stands.
     level = seeds.join(known, "chunk_id").withColumn("n", F.row_number().over(Window.partitionBy("query_id", "chunk_id").orderBy("rank"))).filter("n = 1")
     level = level.select("query_id", "chunk_id", F.col("score").cast("double").alias("score"), F.lit(0).alias("hops"), F.lit("seed").alias("reached_via"), F.lit(None).cast("string").alias("from_chunk"), "cost", F.row_number().over(Window.partitionBy("query_id").orderBy("rank")).cast("long").alias("ord"))
-    found = level
+    found = level = written(level, "level")
     via = F.when(F.col("relation") == 0, "callee").when(F.col("relation") == 1, "caller").otherwise("sibling")
     for hop in range(1, max_hops + 1):
         wide = level.select("query_id", F.col("chunk_id").alias("node"), "score", F.col("ord").alias("parent_ord")).join(around, "node")
-        slot = Window.partitionBy("query_id", "node").orderBy("relation", "other")
-        wide = wide.withColumn("slot", F.row_number().over(slot)).filter(F.col("slot") <= cap)
         wide = wide.join(known.withColumnRenamed("chunk_id", "other"), "other").join(found.select("query_id", F.col("chunk_id").alias("other")), ["query_id", "other"], "left_anti")
         once = Window.partitionBy("query_id", "other").orderBy("parent_ord", "relation")
         wide = wide.withColumn("n", F.row_number().over(once)).filter("n = 1")
@@ -176,14 +185,18 @@ def expand(seeds: DataFrame, edges: DataFrame, costs: DataFrame, token_budget: i
         wide = wide.join(last, "query_id")
         order = F.row_number().over(Window.partitionBy("query_id").orderBy("parent_ord", "relation", "other"))
         level = wide.select("query_id", F.col("other").alias("chunk_id"), (F.col("score") * decay**hop).alias("score"), F.lit(hop).alias("hops"), via.alias("reached_via"), F.col("node").alias("from_chunk"), "cost", (F.col("last") + order).alias("ord"))
+        level = written(level, "level")  # the next hop reads it twice, and so would compute all hops before it again
         found = found.unionByName(level)
     total = F.sum("cost").over(Window.partitionBy("query_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return found.withColumn("total", total).withColumn("admitted", (F.col("total") <= token_budget) | (F.col("ord") == 1)).drop("total")
 
 
-def expansion_trace(found: DataFrame) -> DataFrame:
-    """One row a query: seeds, admitted, tokens, by_hop, stopped_on_budget, frontier_exhausted."""
+def expansion_trace(found: DataFrame, token_budget: int = 6000) -> DataFrame:
+    """One row a query: seeds, admitted, expanded (admitted beyond the seeds), max_hops_reached, tokens_used, token_budget, by_hop, stopped_on_budget, frontier_exhausted."""
     good = found.filter("admitted").groupBy("query_id", "hops").agg(F.count("*").alias("n"), F.sum("cost").alias("tokens"))
-    rows = good.groupBy("query_id").agg(F.sum("n").alias("admitted"), F.sum("tokens").alias("tokens_used"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("hops", "n")))).alias("by_hop"))
-    left = found.groupBy("query_id").agg(F.bool_or(~F.col("admitted")).alias("stopped_on_budget"), F.count_if(F.col("hops") == 0).alias("seeds"))
-    return rows.join(left, "query_id").withColumn("frontier_exhausted", ~F.col("stopped_on_budget"))
+    rows = good.groupBy("query_id").agg(
+        F.sum("n").alias("admitted"), F.sum(F.when(F.col("hops") > 0, F.col("n")).otherwise(0)).alias("expanded"), F.max("hops").alias("max_hops_reached"),
+        F.sum("tokens").alias("tokens_used"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("hops", "n")))).alias("by_hop"),
+    )
+    left = found.groupBy("query_id").agg(F.bool_or(~F.col("admitted")).alias("stopped_on_budget"), F.count_if((F.col("hops") == 0) & F.col("admitted")).alias("seeds"))
+    return rows.join(left, "query_id").withColumn("token_budget", F.lit(token_budget)).withColumn("frontier_exhausted", ~F.col("stopped_on_budget"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citegraph.functions.text import tokenize, tokenize_query
+from citegraph.sources.scratch import written
 
 K1, B = 1.2, 0.75
 #: Sums of the same terms in another order differ in their last bits; rounded, copies of a document tie.
@@ -76,12 +77,14 @@ def search(index: LexicalIndex, queries: DataFrame, k: int = 20) -> DataFrame:
 
 
 def scan_search(docs: DataFrame, queries: DataFrame, k: int = 20, k1: float = K1, b: float = B) -> DataFrame:
-    """`search` without an index, in passes over `docs`: only occurrences of query terms leave a row, so no inverted index is shuffled."""
+    """`search` without an index, in one pass over `docs`: only occurrences of query terms leave a row, so no inverted index is shuffled."""
     terms = queries.select("query_id", F.explode(tokenize_query(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    bags = docs.select("doc_id", tokenize(F.col("text")).alias("tokens"))
+    # Texts are cut into tokens once; the rest reads the written tokens.
+    bags = written(docs.select("doc_id", tokenize(F.col("text")).alias("tokens")), "bags")
     corpus = bags.agg(F.count("*").alias("n"), F.avg(F.size("tokens")).alias("avgdl"))
     wanted = small(terms.select("term").distinct())
-    found = bags.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi").groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    hits = bags.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term", "left_semi")
+    found = written(hits.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl")), "hits")
     df = found.groupBy("term").agg(F.count("*").alias("df"))
     weighed = terms.join(df, "term").crossJoin(F.broadcast(corpus)).select("query_id", "term", "avgdl", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("w"))
     tf, dl = F.col("tf"), F.greatest(F.col("dl"), F.lit(1))

@@ -68,6 +68,11 @@ def invalid_gold(questions: DataFrame, chunks: DataFrame) -> DataFrame:
     return none.unionByName(files.select("id", F.lit("missing_file").alias("problem"), "value")).unionByName(symbols.select("id", F.lit("missing_symbol").alias("problem"), "value"))
 
 
+def gold_files(hunks: DataFrame) -> DataFrame:
+    """(query_id, files): the sorted paths that the hunks of each instance change."""
+    return hunks.groupBy(F.col("instance_id").alias("query_id")).agg(F.array_sort(F.collect_set("path")).alias("files"))
+
+
 def overlapping(spans: DataFrame, hunks: DataFrame) -> DataFrame:
     """The rows of `spans` (query_id, path, start_line, end_line, ...) that some hunk (query_id, path, lo, hi) of their query and file overlaps."""
     s, h = spans.alias("s"), hunks.alias("h")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from citegraph.functions.text import tokenize
 from citegraph.operators.lexical import ranked_top
+from citegraph.sources.scratch import written
 
 #: Numbers in the queries that go to every task at once; more of them take more passes.
 QUERY_CELLS = 4_000_000
@@ -43,11 +44,8 @@ class TfidfSvdEncoder(Encoder):
 
     def fit(self, corpus: DataFrame) -> TfidfSvdEncoder:
         """The term weights, and components from the eigenvectors of the documents' Gram matrix (small corpora) or of Spark's distributed SVD."""
-        bags = corpus.select("doc_id", tokenize(F.col("text")).alias("tokens"))
-        n = bags.count()
-        terms = bags.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        order = Window.orderBy("term")
-        self.idf = terms.select("term", (F.row_number().over(order) - 1).alias("idx"), (F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1).alias("idf")).persist()
+        n = corpus.count()
+        self.idf = self.term_weights(corpus)
         width = self.idf.count()
         self.dimension = max(2, min(self.requested, min(n, width) - 1))
         rows = self.weights(corpus)
@@ -70,6 +68,12 @@ class TfidfSvdEncoder(Encoder):
         self.components = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(right)], "idx int, component array<double>").persist()
         return self
 
+    def term_weights(self, corpus: DataFrame) -> DataFrame:
+        """(term, idx, idf) of the terms of `corpus`."""
+        bags = written(corpus.select("doc_id", F.array_distinct(tokenize(F.col("text"))).alias("terms")), "terms")
+        terms = bags.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        return written(numbered(terms, "term").select("term", "idx", (F.log((1 + F.lit(bags.count())) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+
     def weights(self, texts: DataFrame) -> DataFrame:
         """(doc_id, term, idx, weight): (1 + ln tf) * idf, rows of length 1; unknown terms are left out."""
         if self.idf is None:
@@ -114,6 +118,17 @@ def build_encoder(prefer: str = "auto", dimension: int = 256) -> Encoder:
     raise ValueError(f"unknown encoder: {prefer}")
 
 
+def numbered(rows: DataFrame, key: str) -> DataFrame:
+    """`rows` with idx, 0, 1, ... in the order of `key`: sorted ranges are numbered in their tasks, and only the ranges' sizes come to the driver."""
+    placed = written(rows.repartitionByRange(key).withColumn("__part", F.spark_partition_id()), "ranges")
+    start, sizes = {}, {r["__part"]: r["count"] for r in placed.groupBy("__part").count().collect()}
+    for part in sorted(sizes):
+        start[part] = sum(sizes[p] for p in start)
+    table = rows.sparkSession.createDataFrame([*start.items()], "__part int, __start long")
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(key))
+    return placed.join(F.broadcast(table), "__part").withColumn("idx", (F.col("__start") + inside - 1).cast("int")).drop("__part", "__start")
+
+
 def check_dimension(vectors: DataFrame, dimension: int) -> DataFrame:
     """`vectors` as it is; reading a row of another dimension is an error."""
     return vectors.withColumn("embedding", F.when(F.size("embedding") == dimension, F.col("embedding").cast("array<float>")).otherwise(F.raise_error(F.lit(f"dimension is not {dimension}"))))
@@ -143,18 +158,21 @@ def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFram
     """(query_id, doc_id, score, rank): the k greatest inner products of `vectors` (doc_id long, embedding) for each of `queries` (query_id long, embedding); ties by doc_id.
 
     Each task multiplies its vectors by a block of queries and passes on its best k
-    a query, so what is shuffled does not grow with the vectors.  Without vectors or
-    queries there are no rows.
+    a query, so what is shuffled does not grow with the vectors.  Queries come to the
+    driver a block of QUERY_CELLS numbers at a time; with several blocks, each one's result is
+    written before the next comes.  Without vectors or queries there are no rows.
     """
-    asked = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>")).collect()
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    size = asked.agg(F.count("*"), F.max(F.size("embedding"))).first()
+    blocks = max(1, -(-size[0] * max(1, size[1] or 1) // QUERY_CELLS))
+    mine = vectors.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     out = None
-    width = max([len(r[1]) for r in asked], default=1) or 1
-    step = max(1, QUERY_CELLS // width)
-    for lo in range(0, len(asked), step):
-        block = asked[lo : lo + step]
+    for b in range(blocks):
+        block = asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).collect()
+        if not block:
+            continue
         ids, matrix = np.array([r[0] for r in block], np.int64), np.array([r[1] for r in block])
-        found = vectors.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding")).mapInArrow(_scorer(ids, matrix, k, pa.int64()), "query_id long, doc_id long, score double")
+        found = ranked_top(mine.mapInArrow(_scorer(ids, matrix, k, pa.int64()), "query_id long, doc_id long, score double"), k)
+        found = written(found, "nearest") if blocks > 1 else found
         out = found if out is None else out.unionByName(found)
-    if out is None:
-        out = vectors.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
-    return ranked_top(out, k)
+    return ranked_top(vectors.sparkSession.createDataFrame([], "query_id long, doc_id long, score double"), k) if out is None else out

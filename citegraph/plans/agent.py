@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import json
+import os
 import sqlite3
 import time
 from abc import ABC, abstractmethod
@@ -178,6 +179,42 @@ class CachedModel(Model):
         return out
 
 
+@dataclasses.dataclass
+class Provider:
+    """A named model and the environment variable that must be set for it to be asked, if any."""
+
+    name: str
+    model: Model | None
+    needs_key: str | None = None
+
+    def usable(self) -> bool:
+        return self.needs_key is None or bool(os.environ.get(self.needs_key))
+
+
+class Failover(Model):
+    """The first usable provider that answers or whose answer is cached; those that fail before it are noted."""
+
+    def __init__(self, providers: list[Provider], cache: ResponseCache):
+        self.providers, self.cache, self.failures, self.cached = providers, cache, [], 0
+
+    def complete(self, messages: list[dict], temperature: float = 0.0, max_tokens: int = 1024) -> Response:
+        usable = [p for p in self.providers if p.usable()]
+        if not usable:
+            raise RuntimeError("no provider has its key set")
+        for p in usable:
+            try:
+                out = CachedModel(p.model, self.cache, p.name).complete(messages, temperature, max_tokens)
+            except Exception as reason:  # noqa: BLE001  whatever one provider meets, the next is asked
+                self.failures.append({"model": p.name, "error": type(reason).__name__, "detail": str(reason)[:200]})
+                continue
+            self.cached += out.cached
+            return Response(out.text, p.name, out.cached)
+        raise RuntimeError(f"all providers failed: {', '.join(p.name for p in usable)}")
+
+    def stats(self) -> dict:
+        return {"failures": len(self.failures), **self.cache.stats()}
+
+
 class ResponseCache:
     """Responses by the hash of their request in an SQLite file; reading one counts a hit, writing one again keeps its hits."""
 

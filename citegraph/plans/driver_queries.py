@@ -157,10 +157,6 @@ def localisation_overlap(spark: SparkSession, d: str) -> DataFrame:
     return metrics.overlapping(s, h).select("path", F.col("start_line").cast("long").alias("start_line"), F.col("end_line").cast("long").alias("end_line"), "part")
 
 
-def event_manifest(spark: SparkSession, d: str) -> DataFrame:
-    return _t(spark, d, "events").groupBy(F.col("event_type").alias("kind")).agg(F.count("*").alias("chunks"), F.countDistinct("user_id").alias("files"))
-
-
 def chunk_identity(spark: SparkSession, d: str) -> DataFrame:
     """Stable ids and citations of order lines."""
     s = _spans(spark, d)
@@ -171,14 +167,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         bm25_topk_batch, term_stats, document_lengths, corpus_stats, vector_topk, vector_norms, rrf_fusion, find_by_name, verify_citations, citation_stats, grep_lines, graph_degrees,
-        graph_neighbours, graph_expansion, metrics_per_query, metric_means, invalid_gold, localisation_overlap, event_manifest, chunk_identity,
+        graph_neighbours, graph_expansion, metrics_per_query, metric_means, invalid_gold, localisation_overlap, chunk_identity,
     )
 }
 
 _STOP = ", ".join(f"'{w}'" for w in sorted({*T.ENGLISH, *T.PYTHON}))
 
 
-def _tokens(table: str, key: str) -> str:
+def tokens(table: str, key: str) -> str:
     """(key, t) for every token occurrence."""
     names = f"select {key}, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) as i from {table}"
     cut = r"regexp_replace(regexp_replace(i, '([a-z0-9])([A-Z])', '\1_\2', 'g'), '([A-Z])([A-Z][a-z])', '\1_\2', 'g')"
@@ -214,19 +210,39 @@ per_query as (
     coalesce(1.0 / s.first, 0.0) as rr, case when n.n > 0 then coalesce(s.ap, 0) * 1.0 / n.n else 0.0 end as ap
   from customer c left join sums s on s.query_id = c.c_custkey left join n_gold n on n.query_id = c.c_custkey)"""
 
+def walk(budget: int, cap: int = 12) -> str:
+    """walk (q, node, score, hops, via, from_node, cost, ord, admitted): two hops from seeds (q, node, score, rank) along near (node, rel, other) with costs (node, cost)."""
+    via = "case rel when 0 then 'callee' when 1 then 'caller' else 'sibling' end"
+
+    def hop(h: int) -> str:
+        known = " union all ".join(f"select q, node, ord from l{i}" for i in range(h))
+        return f"""k{h} as ({known}),
+w{h} as (
+  select l.q, s.other as node, l.score * {0.5**h} as score, {h} as hops, {via} as via, l.node as from_node, c.cost, l.ord as pord, s.rel, row_number() over (partition by l.q, s.other order by l.ord, s.rel) as n
+  from l{h - 1} l join slots s on s.node = l.node join costs c on c.node = s.other anti join k{h} k on k.q = l.q and k.node = s.other),
+l{h} as (select w.q, w.node, score, hops, via, from_node, cost, (select max(k.ord) from k{h} k where k.q = w.q) + row_number() over (partition by w.q order by pord, rel, w.node) as ord from w{h} w where n = 1)"""
+
+    return f"""slots as (select * from (select *, row_number() over (partition by node order by rel, other) as slot from near) where slot <= {cap}),
+l0 as (
+  select s.q, s.node, cast(s.score as double) as score, 0 as hops, 'seed' as via, cast(null as varchar) as from_node, c.cost, row_number() over (partition by s.q order by s.rank) as ord
+  from (select *, row_number() over (partition by q, node order by rank) as n from seeds) s join costs c on c.node = s.node where n = 1),
+{hop(1)}, {hop(2)},
+walk as (select *, sum(cost) over (partition by q order by ord) <= {budget} or ord = 1 as admitted from (select * from l0 union all select * from l1 union all select * from l2))"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "bm25_topk_batch": f"""
-with occ as ({_tokens("documents", "doc_id")}), {_LENGTHS},
-qt as (select item_id, t, count(*) as qtf from ({_tokens("benchmark", "item_id")}) group by item_id, t),
+with occ as ({tokens("documents", "doc_id")}), {_LENGTHS},
+qt as (select item_id, t, count(*) as qtf from ({tokens("benchmark", "item_id")}) group by item_id, t),
 tfs as (select doc_id, t, count(*) as tf from occ where t in (select t from qt) group by doc_id, t),
 scored as (
   select q.item_id as query_id, f.doc_id, round(sum(q.qtf * ln(1 + (c.n - d.df + 0.5) / (d.df + 0.5)) * f.tf * 2.2 / (f.tf + 1.2 * (0.25 + 0.75 * greatest(l.dl, 1) / c.avgdl))), 9) as score
   from qt q join tfs f on f.t = q.t join dfs d on d.t = q.t join dls l on l.doc_id = f.doc_id cross join corpus c group by q.item_id, f.doc_id),
 r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from scored)
 select query_id, doc_id, round(score, 6) as score, rank from r where rank <= 20""",
-    "term_stats": f"with occ as ({_tokens('documents', 'doc_id')}), {_LENGTHS} select t as term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) as idf from dfs cross join corpus",
-    "document_lengths": f"with occ as ({_tokens('documents', 'doc_id')}) select d.doc_id, count(o.t) as dl, count(distinct o.t) as terms, greatest(1, length(any_value(d.text)) // 4) as token_estimate from documents d left join occ o on o.doc_id = d.doc_id group by d.doc_id",
-    "corpus_stats": f"with occ as ({_tokens('documents', 'doc_id')}), {_LENGTHS} select n, round(avgdl, 6) as avgdl from corpus",
+    "term_stats": f"with occ as ({tokens('documents', 'doc_id')}), {_LENGTHS} select t as term, df, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) as idf from dfs cross join corpus",
+    "document_lengths": f"with occ as ({tokens('documents', 'doc_id')}) select d.doc_id, count(o.t) as dl, count(distinct o.t) as terms, greatest(1, length(any_value(d.text)) // 4) as token_estimate from documents d left join occ o on o.doc_id = d.doc_id group by d.doc_id",
+    "corpus_stats": f"with occ as ({tokens('documents', 'doc_id')}), {_LENGTHS} select n, round(avgdl, 6) as avgdl from corpus",
     "vector_topk": """
 with s as (select q.vec_id as query_id, e.vec_id as doc_id, list_inner_product(cast(q.embedding as double[]), cast(e.embedding as double[])) as score from embeddings q cross join embeddings e where q.vec_id % 50 = 0),
 r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s)
@@ -252,10 +268,14 @@ with l as (select doc_id, string_split(text, chr(10)) as parts from documents),
 select lpad(cast(doc_id as varchar), 8, '0') as path, line, substr(trim(text), 1, 200) as text from m where regexp_matches(text, '[Ll]icen[sc]e|[Vv]ersion [0-9]') order by doc_id, line limit 20""",
     "graph_degrees": f"with {_EDGES}, sides as (select src as node, 1 as o, 0 as i from calls union all select dst, 0, 1 from calls) select node, cast(sum(o) as bigint) as n_callees, cast(sum(i) as bigint) as n_callers, cast(sum(o + i) as bigint) as degree from sides group by node",
     "graph_neighbours": "select 'p' || l_partkey as node from lineitem where l_suppkey = 1 union select 's' || b.s_suppkey from supplier a join supplier b on b.s_nationkey = a.s_nationkey where a.s_suppkey = 1 and b.s_suppkey <> 1",
+    "graph_expansion": f"""
+with {_EDGES}, near as (select src as node, 0 as rel, dst as other from calls union select dst, 1, src from calls),
+nodes as (select src as node from calls union select dst from calls union select 's' || s_suppkey from supplier union select 'n' || s_nationkey from supplier), costs as (select node, length(node) * 10 + ascii(right(node, 1)) % 7 as cost from nodes),
+seeds as (select * from (select s_nationkey as q, 's' || s_suppkey as node, s_acctbal as score, row_number() over (partition by s_nationkey order by s_acctbal desc, 's' || s_suppkey) as rank from supplier) where rank <= 3),
+{walk(900)} select q as query_id, node as chunk_id, round(score, 6) as score, hops, via as reached_via, from_node as from_chunk, ord from walk where admitted""",
     "metrics_per_query": f"with {_METRICS} select query_id, " + ", ".join(f"round({c}, 6) as {c}" for c in ("recall_at_1", "hit_at_1", "precision_at_1", "recall_at_5", "hit_at_5", "precision_at_5", "rr", "ap")) + " from per_query",
     "metric_means": f"with {_METRICS} select coalesce(type, 'all') as type, count(*) as questions, " + ", ".join(f"round(avg({c}), 6) as {c}" for c in ("recall_at_5", "hit_at_5", "precision_at_5", "rr", "ap")) + " from per_query group by rollup(type)",
     "invalid_gold": "select distinct cast(l_orderkey as varchar) as id, 'missing_file' as problem, cast(l_partkey as varchar) as value from lineitem where l_partkey not in (select p_partkey from part where p_size > 3)",
     "localisation_overlap": f"with {_SPANS} select s.path, s.start_line, s.end_line, s.part from spans s join orders o on s.path = 'orders/' || o.o_orderkey where s.start_line <= o.o_custkey % 280 + 9 and o.o_custkey % 280 <= s.end_line",
-    "event_manifest": "select event_type as kind, count(*) as chunks, count(distinct user_id) as files from events group by event_type",
     "chunk_identity": f"with {_SPANS} select path, start_line, substr(sha1(path || '::' || part || '::' || start_line), 1, 16) as chunk_id, path || ':' || start_line || '-' || end_line as citation from spans",
 }

@@ -99,7 +99,7 @@ class Index:
         rows = rows.withColumn("sources", F.coalesce(fusion.sources(F.col("ranks")), F.array(F.lit("graph"))))
         order = F.row_number().over(lexical.Window.partitionBy("query_id").orderBy(F.col("score").desc(), "hops", "chunk_id"))
         top = rows.withColumn("rank", order).filter(F.col("rank") <= k).select("query_id", F.col("chunk_id").alias("doc_id"), "score", "hops", "reached_via", "sources", "ranks", "rank")
-        return top, graph.expansion_trace(found)
+        return top, graph.expansion_trace(found, token_budget)
 
     def retrieve(self, queries: DataFrame, mode: str, k: int = 10) -> DataFrame:
         """(query_id, doc_id, score, rank) in one of MODES."""

@@ -64,6 +64,13 @@ def read_questions(spark: SparkSession, path: str, repo: str | None = None) -> D
     return out.filter(F.col("repo") == repo) if repo else out
 
 
+def read_repositories(path: str) -> dict[str, str]:
+    """The roots of a question set's repositories by name."""
+    import yaml
+
+    return {name: r["root"] for name, r in ((yaml.safe_load(Path(path).read_text()) or {}).get("repos") or {}).items()}
+
+
 def read_instances(spark: SparkSession, path: str | None, limit: int | None = None) -> tuple[DataFrame, str]:
     """Rows of a diff benchmark in JSON lines and where they come from; if there are none, an empty table and the reason."""
     empty = spark.createDataFrame([], INSTANCE)

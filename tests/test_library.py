@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from citegraph.functions import text as T
 from citegraph.operators import fusion, graph, lexical, lookup, metrics, vectors
 from citegraph.plans import evaluate
-from citegraph.plans.agent import CachedModel, Answerer, OfflinePolicy, ResponseCache, ToolBox
+from citegraph.plans.agent import Answerer, CachedModel, Failover, OfflinePolicy, Provider, ResponseCache, ToolBox
 from citegraph.plans.index import Index, build_indexes
 from citegraph.sources import files
 
@@ -227,6 +227,40 @@ def test_search_and_evaluation(spark, index):
     assert build_indexes(spark, {"none": "no/such/root"}) == {}
 
 
+def test_report_and_diffs(spark, index, tmp_path):
+    out = evaluate.report(spark, str(Path(__file__).parent / "questions.yaml"), str(Path(__file__).parent.parent), 5, with_agent=False)
+    assert out["questions"] == 2 and out["invalid_gold"] == [] and len(out["per_question"]["shop"]) == 16
+    hunk = index.chunks.filter("name = 'parseConfigFile'").first()
+    patch = f"--- a/{hunk.path}\n+++ b/{hunk.path}\n@@ -1 +{hunk.start_line},2 @@\n"
+    rows = spark.createDataFrame([("i", "r", "c", "parse config file", patch), ("j", "r", "c", "p", patch)], files.INSTANCE)
+    found = evaluate.diffs(rows, {"i": index}, "bm25", 5)
+    assert (found["instances_scored"], found["instances_skipped"], found["skipped_ids"]) == (1, 1, ["j"])
+    assert found["function_level"]["hit_at_1"] == 1.0 and found["file_level"]["questions"] == 1
+    files.write_report(out, str(tmp_path / "report.json"))
+    assert "per_question" in (tmp_path / "report.json").read_text()
+
+
+def test_failover(tmp_path, monkeypatch):
+    monkeypatch.delenv("ABSENT_KEY", raising=False)
+    cache = ResponseCache(str(tmp_path / "f.db"))
+    with pytest.raises(RuntimeError, match="key"):
+        Failover([Provider("a", OfflinePolicy(), "ABSENT_KEY")], cache).complete([])
+    with pytest.raises(RuntimeError, match="failed"):
+        Failover([Provider("b", None)], cache).complete([])
+    monkeypatch.setenv("ABSENT_KEY", "1")
+    model = Failover([Provider("b", None), Provider("a", OfflinePolicy(), "ABSENT_KEY")], cache)
+    said = [model.complete([{"content": "{}"}]) for _ in range(2)]
+    assert [s.cached for s in said] == [False, True] and model.stats()["failures"] == 2 and said[0].model == "a"
+
+
+def test_dense_queries_in_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i % 7), float(i % 5), 1.0]) for i in range(40)], "doc_id long, embedding array<double>")
+    asked = rows.withColumnRenamed("doc_id", "query_id")
+    whole = sorted(vectors.exact_top_k(rows, asked, 3).collect())
+    monkeypatch.setattr(vectors, "QUERY_CELLS", 12)
+    assert sorted(vectors.exact_top_k(rows, asked, 3).collect()) == whole and len(whole) == 120
+
+
 def test_agent(index, tmp_path):
     tools = ToolBox(index)
     assert len(tools.names()) == 7 and not tools.call("no_such_tool").ok and "bad arguments" in tools.call("read_chunk", {"x": 1}).error
