@@ -201,8 +201,10 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, shin
     texts = written(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
 
     keyed = texts.select("tid", "size", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("tid", "size")).alias("leader")).filter("n > 1")
+    # Written, so that the join with it has an exchange of its own and Spark may split a key that many texts have.
+    buckets = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("tid", "size")).alias("leader")).filter("n > 1"), "buckets")
     members = written(keyed.join(buckets, "key"), "members")
+    discard(buckets)
 
     wanted = members.select("tid").distinct().join(texts.select("tid", "text_key", "rep"), "tid")
     wanted = written(wanted, "wanted")

@@ -112,4 +112,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {"op4_warc_revisits": OP4_SQL}
+_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+#: All pairs of texts that share a shingle, and the least id along their links.
+OP3_SQL = rf"""
+with recursive texts as (select coalesce(text, '') as body, min(doc_id) as id, md5(coalesce(any_value(text), '')) as key from documents group by 1),
+cut as (select id, {_WORDS.replace("text", "body")} as w from texts),
+shingles as (
+  select id, case when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) end as s from cut where len(w) > 0),
+bags as (select id, s, count(*) as n from (select id, unnest(s) as s from shingles) group by id, s),
+sizes as (select id, sum(n) as size from bags group by id),
+pairs as (select a.id as a, b.id as b, sum(least(a.n, b.n)) as both_ from bags a join bags b on a.s = b.s and a.id < b.id group by a.id, b.id),
+links as (select a, b from pairs p join sizes x on x.id = p.a join sizes y on y.id = p.b where both_ >= 0.8 * (x.size + y.size - both_) - 1e-6),
+ways as (select a, b from links union all select b, a from links),
+reached(id, other) as (select id, id from texts union select r.id, w.b from reached r join ways w on w.a = r.other),
+named as (select id, min(other) as class_id from reached group by id)
+select d.doc_id, n.class_id, d.doc_id = n.class_id as kept from documents d join texts t on t.body = coalesce(d.text, '') join named n on n.id = t.id
+"""
+
+#: Every window of every text, counted.
+OP5_SQL = rf"""
+with cut as (select doc_id, {_WORDS} as w from documents),
+windows as (select doc_id, unnest(range(1, len(w) - 33)) as begins, w from cut where len(w) >= 35),
+hashed as (select doc_id, begins, md5(array_to_string(w[begins:begins+34], ' ')) as h from windows),
+again as (select h from hashed group by h having count(*) > 1),
+gone as (select distinct doc_id, begins + j as place from hashed join again using (h) cross join range(0, 35) t(j)),
+places as (select doc_id, list(place) as places, count(*) as n from gone group by doc_id),
+kept as (select c.doc_id, len(c.w) as n_words, coalesce(p.n, 0) as n_removed, case when p.n is null then c.w else list_filter(c.w, lambda x, i: not list_contains(p.places, i)) end as k from cut c left join places p on p.doc_id = c.doc_id)
+select doc_id, n_words, n_removed, sha256(array_to_string(k, ' ')) as kept_sha256 from kept
+"""
+
+ORACLE_SQL: dict[str, str] = {"op3_minhash_near_dedup": OP3_SQL, "op4_warc_revisits": OP4_SQL, "op5_substring_dedup": OP5_SQL}

@@ -2,49 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space as the contracts have it: space, tab, line feed, vertical tab, form feed, carriage return.
-BLANKS = r"\x20\x09-\x0D"
-
-_OWN: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of `spark.checkpoint.dir`, which driver and executors share.
-
-    Only where the session names none (as in tests, where everything runs in
-    one process) a temporary folder of this process is used.
-    """
-    named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return "file://" + _OWN.setdefault("dir", tempfile.mkdtemp(prefix="citegraph-"))
+from citegraph.sources.scratch import discard, shared_folder, written
 
+__all__ = ["BLANKS", "broadcast_if_small", "by_value", "discard", "documents", "shared_folder", "written"]
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a Parquet table in the shared folder: it is computed once, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._written_at = path
-    return table
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that `written` made and that nothing still to be computed reads."""
-    for table in tables:
-        spark, path = table.sparkSession, table._written_at
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(jvm_path, True)
-
+#: ASCII white space as the contracts have it: space, tab, line feed, vertical tab, form feed, carriage return.
+BLANKS = r"\x20\x09-\x0D"
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -62,3 +28,8 @@ def by_value(module: str) -> None:
     from pyspark import cloudpickle
 
     cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+# What the operators' modules refer to goes with them.
+for _name in (__name__, "citegraph.sources.scratch"):
+    by_value(_name)

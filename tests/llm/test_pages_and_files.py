@@ -14,9 +14,10 @@ from citegraph.llm import licenses, media, queries, warc
 RECORD = "record_id long, url string, time long, type string, digest string, etag string, last_modified string, headers map<string,string>, extra int"
 
 
-def test_op4_equals_sql(spark):
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_equals_sql(spark, name):
     sf = "/root/testdata/sf0.001"
-    assert compare.differences(spark, compare.duck(sf), "op4", queries.QUERIES["op4_warc_revisits"], queries.ORACLE_SQL["op4_warc_revisits"], sf) == ""
+    assert compare.differences(spark, compare.duck(sf), name, queries.QUERIES[name], queries.ORACLE_SQL[name], sf) == ""
 
 
 def test_canonical_urls(spark):
