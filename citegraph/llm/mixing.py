@@ -56,11 +56,11 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
 
 def _keyed(docs: DataFrame, blocks: int, seed: int) -> DataFrame:
-    """`docs` with __source, __hash, __spot and the numbers b0, b1, b2 of a row's block at each of three levels, as __b0, ..."""
-    out = docs.withColumn("__source", F.col("source").cast("string")).withColumn("__hash", F.xxhash64("text"))
-    out = out.withColumn("__spot", F.xxhash64("doc_id", "__hash", F.lit(seed)))
-    part = lambda bits: F.pmod(F.shiftright("__spot", bits), F.lit(blocks)).cast("int")
-    return out.withColumn("__b0", part(0)).withColumn("__b1", part(20)).withColumn("__b2", part(40))
+    """row (all columns of `docs` as one), doc_id, source, text_hash, spot, and b0, b1, b2, the numbers of the row's block at each of three levels."""
+    out = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.col("source").cast("string").alias("source"), F.xxhash64("text").alias("text_hash"))
+    out = out.withColumn("spot", F.xxhash64("doc_id", "text_hash", F.lit(seed)))
+    part = lambda bits: F.pmod(F.shiftright("spot", bits), F.lit(blocks)).cast("int")
+    return out.withColumn("b0", part(0)).withColumn("b1", part(20)).withColumn("b2", part(40))
 
 
 def _in_cell(rows: str, cells: str):
@@ -142,8 +142,7 @@ def _chosen(placed: DataFrame, most: int) -> DataFrame:
 
 def _placed(docs: DataFrame, weights: tuple[int, ...], most: int, blocks: int, levels: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """Every row of `docs`, narrow, with its cell and how many copies are taken; and the cells."""
-    keyed = _keyed(docs.select("doc_id", "source", "text"), blocks, seed)
-    rows = keyed.select("doc_id", F.col("__source").alias("source"), word_count(F.col("text")).alias("size"), F.col("__hash").alias("text_hash"), F.col("__spot").alias("spot"), *[F.col(f"__{c}").alias(c) for c in CELL])
+    rows = _keyed(docs.select("doc_id", "source", "text"), blocks, seed).withColumn("size", word_count(F.col("row.text"))).drop("row")
     rows = written(rows, "sizes")
     cells = _plan(rows, weights, most, levels, seed)
     placed = rows.alias("r").join(cells.alias("b"), _in_cell("r", "b")).select("doc_id", "text_hash", "size", "spot", "b.*")
@@ -180,17 +179,15 @@ def repeated(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     placed, cells = _placed(docs, weights, most, blocks, levels, seed)
     single = placed.filter("zone").groupBy("doc_id", "source", "text_hash").agg(F.sum("copies").cast("int").alias("times"), F.count("*").alias("rows"))
     single = written(single, "zone")
-    keyed = _keyed(docs, blocks, seed)
-    inside = F.col("d.__source").eqNullSafe(F.col("b.source")) & (F.col("d.__b0") == F.col("b.b0"))
-    for c in ("b1", "b2"):
-        inside = inside & ((F.col(f"b.{c}") == -1) | (F.col(f"d.__{c}") == F.col(f"b.{c}")))
+    rows = _keyed(docs, blocks, seed).alias("r").join(broadcast_if_small(cells).alias("b"), _in_cell("r", "b"))
     taken = F.least(F.col("b.rounds") + (F.col("b.upto") <= F.col("b.quota")).cast("int"), F.lit(most)).cast("int")
-    rows = keyed.alias("d").join(broadcast_if_small(cells).alias("b"), inside).select("d.*", F.when(~F.col("b.zone"), taken).alias("__taken"))
-    same = F.col("r.doc_id").eqNullSafe(F.col("z.doc_id")) & F.col("r.__source").eqNullSafe(F.col("z.source")) & (F.col("r.__hash") == F.col("z.text_hash"))
+    rows = rows.select("row", "doc_id", "r.source", "text_hash", F.when(~F.col("b.zone"), taken).alias("taken"))
+    same = F.col("r.doc_id").eqNullSafe(F.col("z.doc_id")) & F.col("r.source").eqNullSafe(F.col("z.source")) & (F.col("r.text_hash") == F.col("z.text_hash"))
     # A row outside every zone has none in the table of single documents, as equal rows lie in one cell.
-    found = rows.alias("r").join(broadcast_if_small(single).alias("z"), same, "left").select("r.*", F.coalesce("__taken", "z.times").alias("__times"), (F.col("__taken").isNull() & (F.col("z.rows") > 1)).alias("__many"))
+    found = rows.alias("r").join(broadcast_if_small(single).alias("z"), same, "left")
+    found = found.select("row", "r.doc_id", "r.source", "r.text_hash", F.coalesce("taken", "times").alias("times"), F.coalesce(F.col("taken").isNull() & (F.col("rows") > 1), F.lit(False)).alias("many"))
     out = found
     if single.filter("rows > 1").limit(1).count():
-        out = found.filter("not coalesce(__many, false)").unionByName(found.filter("__many").dropDuplicates(["doc_id", "__source", "__hash"]))
-    out = out.filter("__times > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), "__times")))
-    return out.select(*[f"`{c}`" for c in docs.columns])
+        out = found.filter("not many").unionByName(found.filter("many").dropDuplicates(["doc_id", "source", "text_hash"]))
+    out = out.filter("times > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), "times")))
+    return out.select("row.*")

@@ -253,10 +253,10 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, shin
 
 def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of `docs`, with all their columns, that name their class in `classes`, one a class, and only one of repeated rows."""
-    key = F.md5(F.coalesce("text", F.lit("")))
-    first = classes.filter("doc_id <=> class_id and text_key = class_key").groupBy(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key")).agg(F.count("*").alias("__copies"))
-    same = F.col("d.doc_id").cast("long").eqNullSafe(F.col("f.__id")) & (key == F.col("f.__key"))
-    rows = docs.alias("d").join(first.alias("f"), same).select("d.*", "f.*")
-    single = rows.filter("__copies = 1")
-    repeated = rows.filter("__copies > 1").dropDuplicates(["__id", "__key"])
-    return single.unionByName(repeated).drop("__id", "__key", "__copies")
+    # The caller's columns travel as one, so that none of their names can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), F.md5(F.coalesce("text", F.lit(""))).alias("key"))
+    first = classes.filter("doc_id <=> class_id and text_key = class_key").groupBy(F.col("doc_id").alias("first_id"), F.col("text_key").alias("first_key")).agg(F.count("*").alias("copies"))
+    found = rows.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("key") == F.col("first_key"))).select("row", "id", "key", "copies")
+    single = found.filter("copies = 1")
+    repeated = found.filter("copies > 1").dropDuplicates(["id", "key"])
+    return single.unionByName(repeated).select("row.*")

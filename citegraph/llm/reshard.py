@@ -143,7 +143,12 @@ def reshard(docs: DataFrame, shards: int = OLD_SHARDS, old_shard: Column | None
 
 
 def rewrite_affected(docs: DataFrame, plan: Plan, out_dir: str, old_shard: Column | None = None, blocks: int = BLOCKS) -> list[int]:
-    """Write the shards that gain or lose rows under `out_dir`/shard=N and return their numbers; files of other shards stay as they are."""
+    """Write the shards that gain or lose rows under `out_dir`/shard=N and return their numbers; files of other shards stay as they are.
+
+    Rows go as `reshard` placed them, nulls and repeated rows too; a column `shard`
+    of `docs` is written as shard_before; an empty table affects nothing.
+    """
+    docs = docs.withColumnRenamed("shard", "shard_before")
     affected = sorted({j for (o, _), j in plan.target.items() if j != o} | {o for (o, _), j in plan.target.items() if j != o})
     spark = docs.sparkSession
     table = spark.createDataFrame([(o, b, j) for (o, b), j in plan.target.items() if j in affected], "__old int, __block int, shard int")

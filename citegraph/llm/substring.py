@@ -221,8 +221,10 @@ def strip_reference(docs: DataFrame, reference: DataFrame, min_words: int = WIND
     automata are bounded by twice that many states; SHARDS_AT_ONCE of them are
     broadcast to a pass over the documents, and a larger reference takes more
     passes.  A null text stays null and has no spans; an empty reference removes
-    nothing.
+    nothing; repeated rows are treated each; columns `spans` and `kept` of `docs` come back as
+    spans_before and kept_before.
     """
+    docs = docs.withColumnsRenamed({"spans": "spans_before", "kept": "kept_before"})
     spark = docs.sparkSession
     parts = reference.select(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+").alias("w")).agg(F.sum(F.size("w"))).first()[0] or 0
     n = max(1, -(-parts // shard_words))

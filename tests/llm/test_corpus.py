@@ -383,3 +383,108 @@ def test_pipeline(spark, sample):
             assert docs.filter("text rlike '[a-z]{4}'").count() >= 0.97 * before.count()
     assert kept[2] < kept[1] and kept[3] <= kept[2] and kept[5] == kept[4]
     assert corpus_pipeline.run(spark, SF).count() == kept[5]
+
+
+CLASH = ("score", "lang_pred", "text_key", "class_id", "c0", "zone", "shard", "spans", "kept", "item_id", "size", "spot", "__copies")
+
+
+def test_every_stage_keeps_its_columns_and_clean_rows(spark, sample):
+    """Nulls, empty and very long texts, repeated rows and ties, and columns named as a stage names its own."""
+    good = sample.filter("lang = 'en'").orderBy("doc_id").limit(30).select("doc_id", "text", "lang", "source", "n_chars")
+    long = " ".join(f"{w}{i % 97}" for i, w in enumerate(WORDS * 2000))
+    odd = spark.createDataFrame([(None, None, None, None, None), (None, "", "en", None, 0), (5000, long, None, "s", None), (5001, "the same words in the house", "en", None, 3), (5001, "the same words in the house", "en", None, 3), (None, "another house of the words", "en", "s", 3)], DOCS)
+    docs = good.unionByName(odd)
+    for c in CLASH:
+        docs = docs.withColumn(c, F.lit("mine"))
+    counts = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF).persist()
+        counts.append(docs.count())
+        if name != "sharding":
+            assert docs.columns == [*sample.columns, *CLASH] and docs.filter(" or ".join(f"`{c}` <> 'mine'" for c in CLASH)).count() == 0
+        if name == "near_dedup":
+            ids = [r.doc_id for r in docs.collect()]
+            assert ids.count(5001) == 1 and ids.count(None) == 1
+    assert counts[1] >= 32 and counts[4] == counts[5] and sorted(docs.columns) == ["doc_id", "old_shard", "shard", "size", "slot", "text_crc32"]
+    empty = sample.limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, empty, SF)
+    assert empty.collect() == []
+
+
+def slow_mix(x: int) -> int:
+    x = ((x ^ (x >> 30)) * 0xBF58476D1CE4E5B9) % 2**64
+    x = ((x ^ (x >> 27)) * 0x94D049BB133111EB) % 2**64
+    return x ^ (x >> 31)
+
+
+def slow_counts(text: str) -> Counter:
+    """Features of one text, one n-gram after the other."""
+    folded = []
+    for c in text:
+        low = c.lower() if c.isalpha() and len(c.lower()) == 1 else c
+        if c.isalpha():
+            folded.append(ord(low) if ord(c) < 1 << 16 else ord(c))
+        elif folded and folded[-1]:
+            folded.append(0)
+    out: Counter = Counter()
+    for n in langid.GRAMS:
+        for i in range(len(folded) - n + 1):
+            if n > 1 or folded[i]:
+                key = n
+                for x in folded[i : i + n]:
+                    key = (key * 0x100000001B3 + x) % 2**64
+                out[slow_mix(key) >> 51] += 1
+    return out
+
+
+def test_op1_features_and_learning_equal_plain_loops():
+    rng = random.Random(3)
+    texts = ["".join(rng.choices("abÄß ñ.\n1Éé😀𐐀Z", k=rng.randint(0, 60))) for _ in range(150)] + ["", "x " * 100_000]
+    raw = [t.encode() for t in texts]
+    data, at = np.frombuffer(b"".join(raw), np.uint8), np.append(0, np.cumsum([len(r) for r in raw]))
+    text, feature, count, letters = langid.counts(data, at)
+    for i, t in enumerate(texts):
+        mine = text == i
+        assert dict(zip(feature[mine].tolist(), count[mine].tolist(), strict=True)) == slow_counts(t) and letters[i] == sum(c.isalpha() for c in t)
+    # FTRL, one coordinate at a time.
+    rows = [(np.array(sorted(rng.sample(range(12), 4))), np.array([rng.random() for _ in range(4)]), rng.randrange(3)) for _ in range(40)]
+    w, b = langid.fit_ftrl(rows, 3, epochs=2)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(f, k):
+        l1 = 0.0 if f == langid.FEATURES else 0.02
+        return 0.0 if abs(z[f, k]) <= l1 else -(z[f, k] - np.sign(z[f, k]) * l1) / ((1 + n[f, k] ** 0.5) / 0.5 + 0.1)
+
+    for _ in range(2):
+        for f, v, label in rows:
+            cells = [*zip(f.tolist(), v.tolist(), strict=True), (langid.FEATURES, 1.0)]
+            now = {(x, k): weight(x, k) for x, _ in cells for k in range(3)}
+            sums = [np.exp(sum(now[x, k] * y for x, y in cells)) for k in range(3)]
+            for x, y in cells:
+                for k in range(3):
+                    g = y * (sums[k] / sum(sums) - (k == label))
+                    z[x, k] += g - ((n[x, k] + g * g) ** 0.5 - n[x, k] ** 0.5) / 0.5 * now[x, k]
+                    n[x, k] += g * g
+    assert np.allclose(b, [weight(langid.FEATURES, k) for k in range(3)]) and np.allclose(w[:12], [[weight(x, k) for k in range(3)] for x in range(12)]) and not w[12:].any()
+    # The temperature has the least loss of a fine grid.
+    logits, labels = np.array([[rng.gauss(0, 4) for _ in range(3)] for _ in range(60)]), np.array([rng.randrange(3) for _ in range(60)])
+
+    def loss(t):
+        return -np.log(langid._softmax(logits / t)[np.arange(60), labels]).mean()
+
+    assert loss(langid._temperature(logits, labels)) <= min(loss(t) for t in np.exp(np.arange(-3.9, 3, 0.05))) + 1e-4
+
+
+def test_op1_edges(spark, sample):
+    """Repeated rows, very long texts and an empty table to predict; too many languages are an error."""
+    model = langid.train(sample)
+    rows = make(spark, ["der und die nicht"] * 2 + ["the house of the people and " * 20_000], [1, 1, 2])
+    got = [(r.doc_id, r.lang_pred, r.score) for r in langid.predict(rows, model, "doc_id").orderBy("doc_id").collect()]
+    assert got[0] == got[1] and got[0][1] == "de" and got[2][1] == "en"
+    assert langid.predict(rows.limit(0), model, "doc_id").collect() == []
+    with pytest.raises(ValueError, match="columns"):
+        langid.predict(rows.withColumn("score", F.lit(1)), model, "doc_id", "score")
+    many = spark.range(langid.MAX_LANGUAGES + 1).select(F.col("id").alias("doc_id"), F.lit("abc").alias("text"), F.col("id").cast("string").alias("lang"))
+    with pytest.raises(ValueError, match="languages"):
+        langid.train(many)
