@@ -20,6 +20,8 @@ by_value(__name__)
 
 #: Captures (rows of one URL and time) that a slice of time aims at.
 SLICE_ROWS = 200_000
+#: Beyond so many slices they take more rows instead; their sorts spill.
+MAX_SLICES = 10_000
 #: Header fields that a not-modified response may bring up to date; the rest, above all those on the body, are the stored response's.
 MERGED = ("age", "cache-control", "content-location", "date", "etag", "expires", "last-modified", "link", "vary", "warning")
 #: Query parameters that name a visit, not a page.
@@ -39,12 +41,11 @@ def canonical_url(url: Column) -> Column:
 
 
 def _slices(moments: DataFrame, rows: int) -> DataFrame:
-    """`moments` (url, time, ...) with slice: the times of all URLs together in about equal parts."""
-    parts = max(1, -(-moments.count() // rows))
+    """`moments` (url, time, ...), a written table, with slice: the times of all URLs together in about equal ranges, equal times in one."""
+    parts = min(MAX_SLICES, max(1, -(-moments.count() // rows)))
     if parts == 1:
         return moments.withColumn("slice", F.lit(0))
-    cuts = moments.agg(F.percentile_approx("time", [i / parts for i in range(1, parts)], 10_000)).first()[0]
-    return moments.withColumn("slice", F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c <= F.col("time"))))
+    return moments.repartitionByRange(parts, "time").withColumn("slice", F.spark_partition_id())
 
 
 def resolve(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -71,7 +72,9 @@ def resolve(records: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     seen = written(seen.withColumn("full", F.coalesce(F.col("type") == "response", F.lit(False)) & F.col("record_id").isNotNull()), "captures")
     placed = seen.filter("url is not null and time is not null")
     at = placed.groupBy("url", "time").agg(F.max(F.when(F.col("full"), F.col("record_id"))).alias("full_id"), F.max((~F.col("full")).cast("int")).alias("asked"))
-    at = written(_slices(at, slice_rows), "moments")
+    at = written(at, "moments")
+    # Written again, so that every reader sees the same cuts.
+    at = written(_slices(at, slice_rows), "slices")
     last = F.when(F.col("full_id").isNotNull(), F.struct("time", F.col("full_id").alias("id")))
     ends = at.filter("full_id is not null").groupBy("url", "slice").agg(F.max(last).alias("end"))
     before = Window.partitionBy("url").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
