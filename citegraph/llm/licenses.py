@@ -1,7 +1,7 @@
 """Licence scans in DataFrame operations only: TF-IDF cosine to templates, then inheritance along directories.
 
-A unit is a sentence or line that speaks of licensing, and the whole text of a
-licence file.  Its cosine to every template is computed within the row, as the
+A unit is a line, sentence or paragraph that speaks of licensing, its wrapped
+lines joined and comment marks left out, and the whole text of a licence file.  Its cosine to every template is computed within the row, as the
 vocabulary is that of the templates; the document frequencies of its terms are
 counted over all units.  A file without a licence of its own takes that of the
 nearest directory above it that has a licence file.
@@ -15,7 +15,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citegraph.llm.shared import written
+from citegraph.llm.shared import broadcast_if_small, written
 
 #: Standard notices, as their publishers recommend them.
 TEMPLATES = (
@@ -26,8 +26,12 @@ TEMPLATES = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License"),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3"),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License"),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License"),
     ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3"),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License"),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
@@ -42,7 +46,12 @@ TEMPLATES = (
 #: Units speak of one of these.
 SPEAKS = r"(?i)licen[cs]e|copyright|redistribut|permission is hereby|all rights reserved|creative commons|\bcc0\b|\bcc[ -]by\b"
 LICENCE_FILE = r"(?i)(?:^|/)(?:licen[cs]e|copying|notice)(?:\.[^/]*)?$"
-SENTENCES = r"[\n\r]+|(?<=[.;!?])\s+"
+#: Marks of comments before and after the words of a line.
+MARKS = r"(?m)^[ \t]*(?:/\*+|\*+/?|//+|#+|--+|;+|%+|<!--)[ \t]*|[ \t]*(?:\*/|-->)[ \t]*$"
+PARAGRAPHS = r"\n[ \t]*\n\s*"
+#: No sentence ends at a single letter, as in "v. 2.0".
+ENDS = r"(?<=[.!?])(?<!\b[A-Za-z]\.)\s+"
+SENTENCES = rf"\n+|{ENDS}"
 TERM = r"[a-z0-9]+(?:\.[0-9]+)*"
 LEAST = 0.6
 
@@ -56,9 +65,14 @@ def _terms(unit: Column) -> Column:
 
 
 def _units(path: Column, text: Column) -> Column:
-    """The sentences that speak of licensing; in a licence file also the whole text."""
-    some = F.filter(F.split(text, SENTENCES), lambda s: F.regexp_like(s, F.lit(SPEAKS)))
-    return F.when(F.regexp_like(path, F.lit(LICENCE_FILE)) & (F.trim(text) != ""), F.concat(F.array(text), F.when(F.regexp_like(text, F.lit(SPEAKS)), some).otherwise(F.array()))).when(F.regexp_like(text, F.lit(SPEAKS)), some).otherwise(F.array().cast("array<string>"))
+    """What speaks of licensing of the lines, sentences and paragraphs, each once; in a licence file also the whole text."""
+    speaks = lambda s: F.regexp_like(s, F.lit(SPEAKS))
+    plain = F.regexp_replace(F.regexp_replace(text, r"\r\n?", "\n"), MARKS, "")
+    joined = F.transform(F.filter(F.split(plain, PARAGRAPHS), lambda p: F.regexp_like(F.regexp_replace(p, r"\s*\n\s*", " "), F.lit(SPEAKS))), lambda p: F.regexp_replace(p, r"\s*\n\s*", " "))
+    some = F.concat(F.filter(F.split(plain, SENTENCES), speaks), joined, F.flatten(F.transform(joined, lambda p: F.filter(F.split(p, ENDS), speaks))))
+    some = F.when(F.regexp_like(F.regexp_replace(text, r"\s+", " "), F.lit(SPEAKS)), some).otherwise(F.array().cast("array<string>"))
+    whole = F.when(F.regexp_like(path, F.lit(LICENCE_FILE)) & (F.trim(text) != ""), F.array(text)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.transform(F.concat(whole, some), F.trim))
 
 
 def _weights(df: dict[str, int], units: int) -> tuple[dict[str, float], float]:
@@ -109,7 +123,8 @@ def scan(files: DataFrame, *keep: str, least: float = LEAST) -> DataFrame:
     file (origin "inherited", licensed_by the directory, "" the root; of several the
     greatest score, then the first by name), else null (origin "none").  A null or
     empty text has no licence of its own; a null path has no directory.
-    Repeated rows are scanned each; which other columns there are makes no difference.
+    Of equal units of one file
+    one counts.  Repeated rows are scanned each; which other columns there are makes no difference.
     """
     rows = files.select(*[F.col(c).alias(f"__keep_{i}") for i, c in enumerate(keep)], F.col("path").alias("__path"), _units(F.coalesce("path", F.lit("")), F.coalesce("text", F.lit(""))).alias("__units"))
     rows = written(rows, "units")
@@ -125,12 +140,13 @@ def scan(files: DataFrame, *keep: str, least: float = LEAST) -> DataFrame:
     own = written(own.withColumn("__score", F.col("__best.s")).drop("__best"), "own")
 
     named = own.filter(F.col("__own").isNotNull() & F.regexp_like("__path", F.lit(LICENCE_FILE)))
-    by_dir = named.groupBy("__dir").agg(F.min(F.struct((-F.col("__score")).alias("s"), F.col("__own").alias("license"))).alias("found")).withColumnRenamed("__dir", "above")
+    by_dir = written(named.groupBy("__dir").agg(F.min(F.struct((-F.col("__score")).alias("s"), F.col("__own").alias("license"))).alias("found")).withColumnRenamed("__dir", "above"), "by_dir")
     parts = F.split("__dir", "/")
     dirs = own.filter("__dir is not null").select("__dir").distinct()
     above = dirs.select("__dir", F.explode(F.concat(F.array(F.lit("")), F.when(F.col("__dir") != "", F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).otherwise(F.array().cast("array<string>")))).alias("above"))
-    nearest = above.join(by_dir, "above").groupBy("__dir").agg(F.max(F.struct(F.length("above").alias("depth"), "above", "found")).alias("near"))
-    out = own.join(nearest, "__dir", "left")
+    # Every directory looks under the root and its top directories, and one directory may hold most rows: a small side is sent to all tasks.
+    nearest = written(above.join(broadcast_if_small(by_dir), "above").groupBy("__dir").agg(F.max(F.struct(F.length("above").alias("depth"), "above", "found")).alias("near")), "nearest")
+    out = own.join(broadcast_if_small(nearest), "__dir", "left")
     is_own, has = F.col("__own").isNotNull(), F.col("near").isNotNull()
     return out.select(
         *[F.col(f"__keep_{i}").alias(c) for i, c in enumerate(keep)],

@@ -2,6 +2,7 @@
 
 import gzip
 import math
+import re
 import random
 
 import compare
@@ -119,13 +120,38 @@ def test_op8_equals_brute_force(spark):
     got = {r.id: (r.license, r.origin, r.licensed_by) for r in rows}
     assert len(rows) == len(files)
     assert got == {0: ("MIT", "own", None), 1: ("MIT", "inherited", "a"), 2: ("Apache-2.0", "own", None), 3: ("Apache-2.0", "inherited", "a/b/c"), 4: ("GPL-3.0", "own", None), 5: (None, "none", None), 6: (None, "none", None), 7: ("CC-BY-NC-4.0", "own", None), 8: ("MIT", "inherited", "a")}
-    units = ["Released under the MIT License.", "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.\nMore.", "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU General Public License, version 3.", files[6][1], "Licensed under CC BY-NC 4.0."]
+    speaks = lambda s: re.search(licenses.SPEAKS, s)
+    split = lambda rule, s: re.split(rule, s)
+    units = []
+    for path, text in files:
+        joined = [" ".join(p.split("\n")) for p in split(licenses.PARAGRAPHS, text or "")]
+        mine = [text] if text and re.search(licenses.LICENCE_FILE, path or "") else []
+        mine += [u for u in [*split(licenses.SENTENCES, text or ""), *joined, *(s for p in joined for s in split(licenses.ENDS, p))] if speaks(u)]
+        units += dict.fromkeys(mine)
     df: dict = {}
     for u in units:
         for t in set(licenses.terms_of(u)):
             df[t] = df.get(t, 0) + 1
-    want = {0: _cosine(units[0], df, len(units)), 4: _cosine(units[4], df, len(units)), 2: max(_cosine(units[2], df, len(units)), _cosine(units[3], df, len(units))), 7: _cosine(units[6], df, len(units))}
+    score = lambda *of: max(_cosine(u, df, len(units)) for u in of)
+    apache, gpl = files[2][1], "This work is licensed under the GNU General Public License, version 3."
+    want = {0: score(files[0][1]), 4: score(gpl), 2: score(apache, apache[:-6]), 7: score(files[7][1])}
     for r in rows:
         if r.id in want:
             assert r.score == pytest.approx(want[r.id][0], abs=1e-8)
     assert licenses.scan(spark.createDataFrame([], "id int, path string, text string"), "id").collect() == []
+
+
+def test_op8_joins_the_lines_of_wrapped_notices(spark):
+    """Notices as their publishers wrap them, with the marks of several kinds of comments, and line ends of all kinds."""
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/."
+    gnu = "This {0} is free software{1} you can redistribute it and/or modify\nit under the terms of the GNU {2}General Public License as published by\nthe Free Software Foundation{3} either version {4} of the License, or\n(at your option) any later version."
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License");\nyou may not use this file except in compliance with the License.\nYou may obtain a copy of the License at\n\n    http://www.apache.org/licenses/LICENSE-2.0'
+    notices = [
+        ("MPL-2.0", mpl), ("Apache-2.0", apache), ("GPL-2.0", gnu.format("program", ";", "", ";", 2)), ("GPL-3.0", gnu.format("program", ":", "", ",", 3)), ("LGPL-3.0", gnu.format("library", ":", "Lesser ", ",", 3)),
+        ("LGPL-2.1", gnu.format("library", ";", "Lesser ", ";", "2.1")), ("AGPL-3.0", gnu.format("program", ":", "Affero ", ",", 3)), ("MIT", "Released under the\nMIT License"),
+    ]
+    styles = [lambda t: t, lambda t: "\n".join("# " + x for x in t.split("\n")), lambda t: "/*\n" + "\n".join(" * " + x for x in t.split("\n")) + "\n */", lambda t: "// " + t.replace("\n", "\r\n// ")]
+    rows = [(f"{i}.{j}", f"s/{i}_{j}.c", style(text) + "\n\nint main() { return 0; }") for i, (_, text) in enumerate(notices) for j, style in enumerate(styles)]
+    rows.append(("none", "s/n.c", "# All that follows\n# is code of the house.\n\nint a;"))
+    got = {r.id: (r.license, r.origin) for r in licenses.scan(spark.createDataFrame(rows, "id string, path string, text string"), "id").collect()}
+    assert got == {"none": (None, "none")} | {f"{i}.{j}": (name, "own") for i, (name, _) in enumerate(notices) for j in range(len(styles))}
