@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citegraph.llm import words as W
-from citegraph.llm.shared import by_value
+from citegraph.llm.shared import by_value, small_batches
 
 by_value(__name__)
 
@@ -283,7 +283,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     kind = docs.schema["doc_id"].dataType.simpleString()
     out = None
     for part in _parts(benchmark):
-        found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_match(part, window), f"doc_id {kind}, item_id long, n_windows long, n_exact long")
+        found = small_batches(docs).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_match(part, window), f"doc_id {kind}, item_id long, n_windows long, n_exact long")
         out = found if out is None else out.unionByName(found)
     return out
 
@@ -294,5 +294,5 @@ def clean(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFr
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in out.schema.fields)
     text = F.coalesce(F.col(f"c{docs.columns.index('text')}"), F.lit("")).alias("text")
     for part in _parts(benchmark):
-        out = out.select("*", text).mapInArrow(_drop(part, window), schema)
+        out = small_batches(out).select("*", text).mapInArrow(_drop(part, window), schema)
     return out.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegraph.llm import words as W
-from citegraph.llm.shared import by_value, discard, written
+from citegraph.llm.shared import by_value, discard, small_batches, written
 
 by_value(__name__)
 
@@ -192,7 +192,7 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model:
     """
     # Repeated rows and copies of one document fall together, so a hash below a share takes them all; the bound below holds anyhow.
     spot = (F.xxhash64("doc_id", F.length("text")).cast("double") / 2.0**64) + 0.5
-    rows = docs.filter("lang is not null and text is not null")
+    rows = small_batches(docs).filter("lang is not null and text is not null")
     totals = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if len(totals) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
@@ -256,7 +256,7 @@ def predict(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
 
 def _judged(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """`keep` as c0, c1, ..., then the language and the score."""
-    kept = docs.select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.coalesce("text", F.lit("")).alias("text"))
+    kept = small_batches(docs).select(*[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)], F.coalesce("text", F.lit("")).alias("text"))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
     return kept.mapInArrow(_predict(model), f"{schema}, c{len(keep)} string, c{len(keep) + 1} double")
 

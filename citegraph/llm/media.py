@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citegraph.llm.components import connected_components
-from citegraph.llm.shared import by_value, written
+from citegraph.llm.shared import by_value, small_batches, written
 
 by_value(__name__)
 
@@ -178,7 +178,7 @@ def copies(images: DataFrame) -> DataFrame:
     image too small or flat for corners only of its equals; an incomplete last row
     of pixels is left out of the search for corners.  Null ids are carried, never compared.
     """
-    source = images.select(F.col("image_id").cast("long").alias("image_id"), "pixels", F.col("width").cast("int").alias("width"))
+    source = small_batches(images).select(F.col("image_id").cast("long").alias("image_id"), "pixels", F.col("width").cast("int").alias("width"))
     source = source.withColumn("key", F.sha2(F.concat(F.coalesce("pixels", F.lit(b"")), F.concat_ws(":", F.lit("w"), F.coalesce(F.col("width").cast("string"), F.lit("none")), F.col("pixels").isNull().cast("string")).cast("binary")), 256))
     named = written(source.groupBy("key").agg(F.min("image_id").alias("id")), "images")
     first = source.filter("pixels is not null").select("key", "pixels", "width").dropDuplicates(["key"])

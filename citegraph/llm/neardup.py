@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from citegraph.llm import words as W
 from citegraph.llm.components import connected_components
-from citegraph.llm.shared import broadcast_if_small, by_value, discard, written
+from citegraph.llm.shared import broadcast_if_small, by_value, discard, small_batches, written
 
 by_value(__name__)
 
@@ -195,7 +195,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, shin
     equal.  Repeated rows come out as often as they went in.  An empty table gives
     an empty one.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    source = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.md5(F.coalesce("text", F.lit(""))).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     signed = written(source.mapInArrow(_sign(bands, rows, shingle), "doc_id long, text_key string, size long, bands array<long>"), "signed")
     texts = signed.groupBy("text_key").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     texts = written(texts.withColumn("tid", F.monotonically_increasing_id()), "texts")
