@@ -87,14 +87,14 @@ def _map(table: dict[str, float]) -> Column:
 
 def best_template(unit: Column, idf: dict[str, float], rare: float) -> Column:
     """The (cosine, -index) of the nearest template."""
-    weight = _map(idf)
+    weight, vocabulary = _map(idf), sorted(idf)
 
     def norm(terms: Column) -> Column:
         start = F.struct(F.lit("").alias("t"), F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("sum"))
 
         def add(a: Column, t: Column) -> Column:  # equal terms stand together, so squares of counts grow by odd numbers
             had = F.when(a["t"] == t, a["c"]).otherwise(F.lit(0).cast("long"))
-            w = F.coalesce(F.try_element_at(weight, t), F.lit(rare))
+            w = F.when(t.isin(vocabulary), F.try_element_at(weight, t)).otherwise(F.lit(rare))
             return F.struct(t.alias("t"), (had + 1).alias("c"), (a["sum"] + w * w * (2 * had + 1)).alias("sum"))
 
         return F.sqrt(F.aggregate(F.array_sort(terms), start, add)["sum"])
@@ -107,9 +107,13 @@ def best_template(unit: Column, idf: dict[str, float], rare: float) -> Column:
         table = _map({t: c * idf[t] ** 2 / length for t, c in counts.items()})
         return F.aggregate(terms, F.lit(0.0), lambda a, t: a + F.coalesce(F.try_element_at(table, t), F.lit(0.0)))
 
+    def nearest(known: Column) -> Column:
+        return F.array_max(F.array(*[F.struct(score(known, i).alias("s"), F.lit(-i).alias("i")) for i in range(len(TEMPLATES))]))
+
     def best(terms: Column) -> Column:
-        scores = F.array(*[F.struct(score(terms, i).alias("s"), F.lit(-i).alias("i")) for i in range(len(TEMPLATES))])
-        return F.transform(F.array(norm(terms)), lambda n: F.transform(F.array(F.array_max(scores)), lambda b: F.struct(F.when(n > 0, F.round(F.least(b["s"] / n, F.lit(1.0)), 9)).otherwise(0.0).alias("s"), b["i"].alias("i")))[0])[0]
+        # Other terms add nothing to a product, so templates pass over those of the vocabulary alone.
+        top = F.transform(F.array(F.filter(terms, lambda t: t.isin(vocabulary))), nearest)
+        return F.transform(F.array(norm(terms)), lambda n: F.transform(top, lambda b: F.struct(F.when(n > 0, F.round(F.least(b["s"] / n, F.lit(1.0)), 9)).otherwise(0.0).alias("s"), b["i"].alias("i")))[0])[0]
 
     return F.transform(F.array(_terms(unit)), best)[0]
 
