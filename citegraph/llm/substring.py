@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citegraph.llm import words as W
-from citegraph.llm.shared import broadcast_if_small, by_value, written
+from citegraph.llm.shared import broadcast_if_small, by_value, small_batches, written
 
 by_value(__name__)
 
@@ -124,7 +124,7 @@ def strip_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -
     and so repeat each other.  doc_id is carried, never compared.  Windows are
     compared by 128 bits of hash.
     """
-    source = docs.select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
+    source = small_batches(docs).select("doc_id", F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("text_key"), F.coalesce("text", F.lit("")).alias("text"))
     kind = source.schema["doc_id"].dataType.simpleString()
     seen = written(source.mapInArrow(_scan(window, anchor), f"doc_id {kind}, text_key binary, n_words long, whole_sha256 string, anchors array<long>"), "scan")
     texts = seen.groupBy("text_key").agg(F.count("*").alias("n"), F.first("n_words").alias("n_words"), F.first("anchors").alias("anchors"))
@@ -224,7 +224,7 @@ def strip_reference(docs: DataFrame, reference: DataFrame, min_words: int = WIND
     nothing; repeated rows are treated each; columns `spans` and `kept` of `docs` come back as
     spans_before and kept_before.
     """
-    docs = docs.withColumnsRenamed({"spans": "spans_before", "kept": "kept_before"})
+    docs = small_batches(docs).withColumnsRenamed({"spans": "spans_before", "kept": "kept_before"})
     spark = docs.sparkSession
     parts = reference.select(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+").alias("w")).agg(F.sum(F.size("w"))).first()[0] or 0
     n = max(1, -(-parts // shard_words))
