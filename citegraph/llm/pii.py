@@ -23,7 +23,7 @@ from citegraph.llm.shared import written
 
 MARK, OTHER = "\x01", "\x02"
 BASE = ("email", "ip", "card", "phone")
-MORE = ("email_spelled", "phone_local", "national_id", "bank_account", "name")
+MORE = ("email_spelled", "phone_local", "national_id", "bank_account", "name", "secret")
 KINDS = BASE + MORE
 
 #: Whole runs are taken possessively, and a match starts where a run does or the last match ended: the same matches as the plain pattern, in linear time.
@@ -45,6 +45,17 @@ PROPOSAL = r"(?<![\p{L}0-9])(?:" + "|".join(PROPOSALS.values()) + ")"
 #: The same for a text without a spelled-out at sign: every match begins with a capital, a digit or a bracket, which is quickly seen.
 PLAIN = r"(?=[A-Z0-9(])(?<![\p{L}0-9])(?:" + "|".join(p for k, p in PROPOSALS.items() if k != "email_spelled") + ")"
 
+_KEY = r"[A-Z\x20]{0,40}PRIVATE KEY-----"
+#: Secrets: private keys, signed web tokens, quoted passwords, and runs of at least 16 characters with a letter and a digit.
+SECRET = (
+    rf"-----BEGIN {_KEY}[^-]*+-----END {_KEY}"
+    r"|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++\.[A-Za-z0-9_-]++"
+    r"|(?<=[\"'])(?<=(?i:password|passwd|passphrase|pwd)[\"']?\x20{0,2}[:=]\x20{0,2}[\"'])[^\"'\s]{4,64}+(?=[\"'])"
+    r"|(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{16,}+={0,2}"
+)
+#: How the secrets of well-known issuers begin.
+ISSUED = "AKIA ASIA AIza ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- npm_ sk- sk_live_ sk_test_ rk_live_ xoxa- xoxb- xoxp- eyJ -----BEGIN".split()
+
 GIVEN_NAMES = "james mary robert patricia john jennifer michael linda david elizabeth william barbara richard susan joseph jessica thomas sarah charles karen anna maria peter paul hans klaus jürgen sabine pierre jean marie françois sophie luis carlos josé juan carmen elena lucía".split()
 DOMAINS = "com org net edu gov de fr es uk eu io info".split()
 COUNTRIES = "AT BE CH CZ DE DK ES FI FR GB GR HU IE IT LU NL NO PL PT RO SE".split()
@@ -57,6 +68,7 @@ CONTEXT = {
     "phone_local": "tel|phone|call|fax|mobile|telefon|téléphone|teléfono",
     "national_id": "ssn|social|security|id|number|nummer|sécurité|seguridad",
     "bank_account": "iban|account|bank|konto|compte|cuenta",
+    "secret": "token|secret|password|passwd|passphrase|pwd|key|apikey|auth|authorization|bearer|credential|credentials",
     "name": "dear|contact|name|signed|by|liebe|lieber|sehr|geehrter|geehrte|cher|chère|estimado|estimada",
 }
 STRICT = {
@@ -69,6 +81,7 @@ STRICT = {
     "national_id": r"^(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}$",
     "bank_account": r"^[A-Z]{2}[0-9]{2}(?:\x20[A-Z0-9]{4}){3,7}(?:\x20[A-Z0-9]{1,3})?$|^[A-Z]{2}[0-9]{13,32}$",
     "name": r"\x20\p{Lu}\p{Ll}+\x20\p{Lu}\p{Ll}+$",
+    "secret": r"^(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?=[^A-Z]*[A-Z])(?=[^a-z]*[a-z])[A-Za-z0-9_+-]{20,}={0,2}|[^/]*[^A-Za-z0-9_+/=-](?s:.*))$",
 }
 LABELERS, LENGTHS, ROUNDS = 4, 4, 12
 #: Weight, in spans, of what is assumed of the labelers beforehand.
@@ -153,6 +166,8 @@ def _vote(kind: Column | str, s: Column) -> Column:
     named = {
         "email": F.regexp_like(m, F.lit(r"\.(?:" + "|".join(DOMAINS) + ")$")), "email_spelled": F.regexp_like(m, F.lit(r"(?:" + "|".join(DOMAINS) + ")$")),
         "bank_account": F.left(m, F.lit(2)).isin(COUNTRIES), "name": F.regexp_like(F.lower(m), F.lit(r"\b(?:" + "|".join(GIVEN_NAMES) + r")\b")),
+        "secret": F.regexp_like(m, F.lit("^(?:" + "|".join(ISSUED) + ")")),
+        "secret": F.regexp_like(m, F.lit("^(?:" + "|".join(ISSUED) + ")")),
     }
     gazetteer = _by_kind(kind, named, F.lit(False))
     context = _by_kind(kind, {k: F.regexp_like(F.lower(s["before"]), F.lit(rf"(?<!\p{{L}})(?:{w})[^\p{{L}}]*$")) for k, w in CONTEXT.items()}, F.lit(False))
@@ -163,16 +178,18 @@ def _vote(kind: Column | str, s: Column) -> Column:
 
 
 def proposals(docs: DataFrame, *keep: str) -> DataFrame:
-    """The columns `keep` of `docs` (text, ...) with base and more: arrays of (kind number, start, end, pattern), the valid base spans by kind and start, and the further proposals that touch none of them."""
+    """The columns `keep` of `docs` (text, ...) with base and more: arrays of (kind number, start, end, pattern), the valid base spans by kind and start, and the further proposals: secrets that lie within no other span, others that touch no base span."""
     raw = F.coalesce(F.col("text"), F.lit(""))
     text = docs.select(*[F.col(c).alias(f"__keep_{c}") for c in keep], F.when(F.contains(raw, F.lit(MARK)), F.translate(raw, MARK, OTHER)).otherwise(raw).alias("text"))
     t = F.col("text")
     guards = {"email": F.contains(t, F.lit("@")), "ip": F.contains(t, F.lit(".")), "card": F.lit(True), "phone": F.contains(t, F.lit("+"))}
     spelled = F.contains(t, F.lit("at]")) | F.contains(t, F.lit("at)"))
     cut = written(
-        text.select(*[F.col(f"__keep_{c}").alias(c) for c in keep], *[_pieces(t, PATTERNS[k], guards[k]).alias(f"__{k}") for k in BASE], F.when(spelled, _pieces(t, PROPOSAL, F.lit(True))).otherwise(_pieces(t, PLAIN, F.lit(True))).alias("__more")), "pieces"
+        text.select(*[F.col(f"__keep_{c}").alias(c) for c in keep], *[_pieces(t, PATTERNS[k], guards[k]).alias(f"__{k}") for k in BASE], F.when(spelled, _pieces(t, PROPOSAL, F.lit(True))).otherwise(_pieces(t, PLAIN, F.lit(True))).alias("__more"), _pieces(t, SECRET, F.lit(True)).alias("__secret")), "pieces"
     )
 
+    kind = "array<struct<kind:int,start:bigint,end:bigint,pattern:int>>"
+
     def found(k: str) -> Column:
         number = BASE.index(k)
         good = F.filter(_spans(F.col(f"__{k}")), lambda s: VALID[k](s["m"]))
@@ -187,12 +204,16 @@ def proposals(docs: DataFrame, *keep: str) -> DataFrame:
     def further(base: Column) -> Column:
         free = F.filter(_spans(F.col("__more")), lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
         typed = F.transform(free, lambda s: let(which(s), lambda k: F.struct(_by_kind(k, {x: F.lit(KINDS.index(x)) for x in MORE}, F.lit(KINDS.index("phone_local"))).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _vote(k, s).alias("pattern"))))
-        return F.struct(base.alias("base"), F.array_sort(typed).alias("more"))
+
+        def secrets(others: Column) -> Column:
+            alone = F.filter(_spans(F.col("__secret")), lambda s: ~F.exists(F.concat(base, others), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
+            return F.transform(alone, lambda s: F.struct(F.lit(KINDS.index("secret")).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), _vote("secret", s).alias("pattern")))
+
+        return F.struct(base.alias("base"), let(typed.cast(kind), lambda others: F.array_sort(F.concat(others, secrets(others).cast(kind)))).alias("more"))
 
     # Most rows have no span at all; nothing is computed for those.
-    kind = "array<struct<kind:int,start:bigint,end:bigint,pattern:int>>"
     some = F.coalesce(*[F.col(f"__{k}").isNotNull() for k in BASE])
-    for k in (*BASE, "more"):
+    for k in (*BASE, "more", "secret"):
         some = some | F.col(f"__{k}").isNotNull()
     all_found = F.when(some, let(F.concat(*[found(k) for k in BASE]).cast(kind), further))
     out = cut.select(*keep, all_found.alias("__found"))
