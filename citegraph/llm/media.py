@@ -154,15 +154,37 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], ["a", "b"])
 
 
+def _met_before(boxes: list[np.ndarray], asked: np.ndarray, given: np.ndarray, key: int) -> np.ndarray:
+    """Whether the images `asked` and `given` also share a word of a table that comes before `key`."""
+    words = [np.unique((b[:, 4:8] | (np.arange(WORDS, dtype=np.int64) << 32)).ravel()) for b in boxes]
+    words = [w[: np.searchsorted(w, key)] for w in words]
+    owner = np.repeat(np.arange(len(boxes)), [len(w) for w in words])
+    known, code = np.unique(np.concatenate(words), return_inverse=True)
+    out = np.zeros((len(asked), len(given)), bool)
+    for low in range(0, len(known), 8192):
+        has, here = np.zeros((len(boxes), 8192), np.float32), (code >= low) & (code < low + 8192)
+        has[owner[here], code[here] - low] = 1
+        out |= has[asked] @ has[given].T > 0
+    return out
+
+
 def _compare(table: pa.Table) -> pa.Table:
-    """Links between the queries and the targets of one block pair, at most one for each two components."""
-    comps, boxes, role = table["comp"].to_pylist(), _boxes(table["corners"]), table["is_query"].to_pylist()
-    asked, given = [i for i, r in enumerate(role) if r], [i for i, r in enumerate(role) if not r]
+    """Links between the queries and the targets of one block pair, at most one for each two components.
+
+    Two images are compared in the first bucket that they share alone, and once if both ask.
+    """
+    reps, comps, boxes = table["rep"].to_numpy(), table["comp"].to_numpy(), _boxes(table["corners"])
+    role, asks = (table[c].to_numpy() for c in ("is_query", "asks"))
+    asked, given = np.flatnonzero(role), np.flatnonzero(~role)
     seen: set[tuple[int, int]] = set()
-    for i in asked:
-        for j in given:
-            pair = (min(comps[i], comps[j]), max(comps[i], comps[j]))
-            if pair[0] != pair[1] and pair not in seen and inliers(boxes[i], boxes[j]) >= INLIERS:
+    if len(asked) and len(given):
+        due = (comps[asked][:, None] != comps[given][None, :]) & ~(asks[given][None, :] & (reps[asked][:, None] > reps[given][None, :]))
+        if due.any():
+            due &= ~_met_before(boxes, asked, given, table["key"][0].as_py())
+        for a, b in zip(*np.nonzero(due), strict=True):
+            i, j = asked[a], given[b]
+            pair = (int(min(comps[i], comps[j])), int(max(comps[i], comps[j])))
+            if pair not in seen and inliers(boxes[i], boxes[j]) >= INLIERS:
                 seen.add(pair)
     return pa.table({"a": pa.array([p[0] for p in seen], pa.int64()), "b": pa.array([p[1] for p in seen], pa.int64())})
 
@@ -202,8 +224,9 @@ def copies(images: DataFrame) -> DataFrame:
     largest = opened.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"))
     asked = opened.join(largest, "key").withColumn("is_query", F.col("comp") != F.col("top.comp"))
     blocks = asked.withColumn("q_blocks", F.ceil((F.col("n") - F.col("top.m")) / BLOCK).cast("int")).withColumn("t_blocks", F.ceil(F.col("n") / BLOCK).cast("int")).withColumn("spot", F.xxhash64("rep"))
-    queries = blocks.filter("is_query").select("key", "rep", "comp", F.lit(True).alias("is_query"), F.pmod("spot", "q_blocks").cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("t_blocks") - 1)).alias("tb"))
-    targets = blocks.select("key", "rep", "comp", F.lit(False).alias("is_query"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"), F.pmod("spot", "t_blocks").cast("int").alias("tb"))
+    # Two images with several words in common are both in several buckets; the first of them is open if they are not yet linked, or had one of them as leader.
+    queries = blocks.filter("is_query").select("key", "rep", "comp", F.lit(True).alias("is_query"), F.lit(True).alias("asks"), F.pmod("spot", "q_blocks").cast("int").alias("qb"), F.explode(F.sequence(F.lit(0), F.col("t_blocks") - 1)).alias("tb"))
+    targets = blocks.select("key", "rep", "comp", F.lit(False).alias("is_query"), F.col("is_query").alias("asks"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"), F.pmod("spot", "t_blocks").cast("int").alias("tb"))
     rest = queries.unionByName(targets).join(box, "rep").groupBy("key", "qb", "tb").applyInArrow(_compare, "a long, b long")
     merged = connected_components(written(rest.distinct(), "rest"))
 
