@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from citegraph.llm import words as W
-from citegraph.llm.shared import by_value, discard, small_batches, written
+from citegraph.llm.shared import by_value, release, small_batches, written
 
 by_value(__name__)
 
@@ -215,7 +215,7 @@ def train(docs: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Model:
         v = (1 + np.log(c)) * idf[f]
         (fitted if i % 7 else unseen).append((f, (v / np.sqrt((v * v).sum())).astype(np.float32), langs.index(sample["lang"][i].as_py())))
     del sample
-    discard(seen)
+    release(seen)
     weights, bias = fit_ftrl(fitted, len(langs)) if langs else (np.zeros((FEATURES, 0)), np.zeros(0))
     logits = np.array([v @ weights[f] + bias for f, v, _ in unseen]).reshape(len(unseen), len(langs))
     return Model(langs, idf, weights, bias, _temperature(logits, np.array([k for *_, k in unseen], int)))

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from citegraph.llm import words as W
 from citegraph.llm.components import connected_components
-from citegraph.llm.shared import broadcast_if_small, by_value, discard, small_batches, written
+from citegraph.llm.shared import broadcast_if_small, by_value, release, small_batches, written
 
 by_value(__name__)
 
@@ -204,13 +204,13 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, shin
     # Written, so that the join with it has an exchange of its own and Spark may split a key that many texts have.
     buckets = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("tid", "size")).alias("leader")).filter("n > 1"), "buckets")
     members = written(keyed.join(buckets, "key"), "members")
-    discard(buckets)
+    release(buckets)
 
     wanted = members.select("tid").distinct().join(texts.select("tid", "text_key", "rep"), "tid")
     wanted = written(wanted, "wanted")
     bodies = source.join(broadcast_if_small(wanted), (source["text_key"] == wanted["text_key"]) & source["doc_id"].eqNullSafe(wanted["rep"])).select("tid", "text").dropDuplicates(["tid"])
     bagged = written(bodies.mapInArrow(_bag(shingle), "tid long, bag array<long>"), "bags")
-    discard(wanted)
+    release(wanted)
 
     # A leader's bag goes out in as many copies as its largest bucket needs, so that no task holds all of its pairs.
     least, most = F.least("size", "leader.size"), F.greatest("size", "leader.size")
@@ -226,7 +226,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, shin
         .select(F.col("tid").alias("a"), F.col("leader").alias("b"))
     )
     labels = connected_components(written(linked, "links"))
-    discard(pairs)
+    release(pairs)
 
     members = members.join(labels.withColumnRenamed("id", "tid"), "tid", "left").select("key", "tid", "n", "size", F.coalesce("label", "tid").alias("comp"))
     split = members.groupBy("key").agg(F.first("n").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.sum(F.xxhash64("tid").cast("decimal(38,0)")).alias("set")).filter("n > 2 and least <> most")
@@ -241,7 +241,7 @@ def near_duplicate_classes(docs: DataFrame, similarity: float = SIMILARITY, shin
     targets = blocks.select("key", "tid", "comp", F.lit(False).alias("is_query"), F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)).alias("qb"), F.pmod("spot", "t_blocks").cast("int").alias("tb"))
     rest = queries.unionByName(targets).join(bagged, "tid").groupBy("key", "qb", "tb").applyInArrow(_compare(similarity), "a long, b long")
     merged = connected_components(written(rest.distinct(), "rest"))
-    discard(open_members, bagged)
+    release(open_members, bagged)
 
     labels = labels.unionByName(merged.join(labels, "id", "left_anti").select("id", F.col("id").alias("label"))).alias("l").join(merged.select(F.col("id").alias("label"), F.col("label").alias("low")), "label", "left")
     placed = texts.select("tid", "text_key", "rep").join(labels.select(F.col("id").alias("tid"), F.coalesce("low", "label").alias("label")), "tid", "left")

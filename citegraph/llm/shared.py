@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from citegraph.sources.scratch import discard, shared_folder, written
 
-__all__ = ["BLANKS", "broadcast_if_small", "by_value", "discard", "documents", "shared_folder", "small_batches", "written"]
+__all__ = ["BLANKS", "broadcast_if_small", "by_value", "discard", "documents", "release", "shared_folder", "small_batches", "written"]
 
 #: ASCII white space as the contracts have it: space, tab, line feed, vertical tab, form feed, carriage return.
 BLANKS = r"\x20\x09-\x0D"
@@ -41,6 +41,13 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release(*tables: DataFrame) -> None:
+    """Discard `tables` and have the driver collect its garbage: until then it keeps its memory, and Spark the shuffle files that nothing refers to any more."""
+    discard(*tables)
+    for table in tables[:1]:
+        table.sparkSession._jvm.System.gc()
+
+
 def by_value(module: str) -> None:
     """Let workers receive the functions of `module` themselves, so that they need not find the package."""
     import sys
