@@ -95,6 +95,31 @@ def test_op7_compares_pairs_that_share_one_word(spark):
     assert got == {1: 1, 2: 2, 3: 3, 11: 1, 12: 2, 13: 3}
 
 
+def test_op7_equals_all_pairs_that_share_a_word(spark, monkeypatch):
+    """Pictures of two shades have many words in common by chance, and small blocks make every bucket several of them."""
+    monkeypatch.setattr(media, "BLOCK", 3)
+    rng = np.random.default_rng(11)
+    images = {}
+    for k in range(8):
+        base = np.kron(rng.integers(0, 2, (16, 16)) * 120 + 60, np.ones((8, 8))).astype(np.uint8)
+        images |= {k: base, k + 40: base[9:, 7:], k + 20: np.clip(base * 0.7 + 30, 0, 255).astype(np.uint8), k + 60: np.clip(base.astype(int) + rng.integers(-6, 7, base.shape), 0, 255).astype(np.uint8)}
+    found = {}
+    for k, v in images.items():
+        y, x, scale, turn, words = media.corners(v)
+        found[k] = np.concatenate([np.stack([y, x, scale, turn], 1).astype(np.int64), words.astype(np.int64)], 1)
+    label, met = {k: k for k in images}, 0
+    for a in sorted(images):
+        for b in sorted(images):
+            if a < b and any(len(np.intersect1d(found[a][:, c], found[b][:, c])) for c in range(4, 8)):
+                met += 1
+                if media.inliers(found[a], found[b]) >= media.INLIERS:
+                    low, high = sorted((label[a], label[b]))
+                    label = {k: low if v == high else v for k, v in label.items()}
+    rows = [(k, bytearray(np.ascontiguousarray(v).tobytes()), v.shape[1]) for k, v in images.items()]
+    got = {r.image_id: r.class_id for r in media.copies(spark.createDataFrame(rows, "image_id long, pixels binary, width int")).collect()}
+    assert got == label and met > 100 and 1 < len(set(label.values())) < len(label)
+
+
 def _cosine(unit: str, df: dict, n: int) -> tuple[float, int]:
     idf = lambda t: math.log((1 + n) / (1 + df.get(t, 0))) + 1
     mine: dict = {}
