@@ -27,7 +27,8 @@ SCALES, RADIUS, TURNS, WORDS = (1, 2), 15, 32, 4
 DISTANCE, INLIERS = 24, 6
 #: Share of an image's strongest response that a corner needs.
 LEAST_RESPONSE = 0.02
-BLOCK = 64
+#: Members of a bucket that are compared at once, and images of small buckets with one leader.
+BLOCK, GROUP = 64, 512
 _TESTS: dict[int, np.ndarray] = {}
 
 
@@ -168,6 +169,71 @@ def _met_before(boxes: list[np.ndarray], asked: np.ndarray, given: np.ndarray, k
     return out
 
 
+def _may_agree(boxes: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the images a[i] and b[i] each have INLIERS corners within DISTANCE of one of the other's; without them `inliers` accepts none.
+
+    Pairs with very many corners are let through.
+    """
+    n = np.array([len(x) for x in boxes])
+    off = np.cumsum(n) - n
+    flat = np.concatenate(boxes)
+    half = [(flat[:, k] << 32 | flat[:, k + 1]).astype(np.uint64) for k in (4, 6)]
+    out = n[a] * n[b] > 1 << 20
+    todo = np.flatnonzero(~out & (n[a] >= INLIERS) & (n[b] >= INLIERS))
+    piece = np.cumsum(n[a[todo]] * n[b[todo]]) >> 20
+    for part in np.split(todo, np.flatnonzero(np.diff(piece)) + 1):
+        p, q = a[part], b[part]
+        # One row for each corner of a, then one entry for each corner of b.
+        owner = np.repeat(np.arange(len(part)), n[p])
+        row = np.arange(len(owner)) + np.repeat(off[p] - (np.cumsum(n[p]) - n[p]), n[p])
+        wide = n[q][owner]
+        begin = np.cumsum(wide) - wide
+        col = np.arange(wide.sum()) + np.repeat(off[q][owner] - begin, wide)
+        apart = sum(np.bitwise_count(np.repeat(h[row], wide) ^ h[col]) for h in half)
+        hit = np.flatnonzero(apart <= DISTANCE)
+        line = np.searchsorted(begin, hit, "right") - 1
+        rows = np.bincount(owner[np.unique(line)], minlength=len(part))
+        cols = np.bincount(np.unique(owner[line] * len(flat) + col[hit]) // len(flat), minlength=len(part))
+        out[part] = (rows >= INLIERS) & (cols >= INLIERS)
+    return out
+
+
+def _first_shared(boxes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The words that several images have, ascending, and for each two images the index of the first one both have, else -1."""
+    m = len(boxes)
+    code = np.concatenate([((b[:, 4:8] | (np.arange(WORDS, dtype=np.int64) << 32)) * m + i).ravel() for i, b in enumerate(boxes)])
+    key, owner = np.divmod(np.unique(code), m)
+    known, begin, count = np.unique(key, return_index=True, return_counts=True)
+    common = count > 1
+    known, begin, count = known[common], begin[common], count[common]
+    first = np.full(m * m, -1, np.int64)
+    order = np.arange(len(known))[::-1]  # of what is written to one place the last stays
+    for part in np.split(order, np.flatnonzero(np.diff(np.cumsum(count[order] ** 2) >> 20)) + 1):
+        c = count[part]
+        member = np.arange(c.sum()) + np.repeat(begin[part] - (np.cumsum(c) - c), c)
+        wide = np.repeat(c, c)
+        left = np.repeat(owner[member], wide)
+        right = owner[np.arange(wide.sum()) + np.repeat(np.repeat(begin[part], c) - (np.cumsum(wide) - wide), wide)]
+        first[left * m + right] = np.repeat(np.repeat(part, c), wide)
+    return known, first.reshape(m, m)
+
+
+def _within(table: pa.Table) -> pa.Table:
+    """Links that join the images of some buckets with one leader, found by comparing all that share a bucket here first and are not yet joined."""
+    table = table.sort_by("rep")
+    reps, boxes = table["rep"].to_numpy(), _boxes(table["corners"])
+    known, first = _first_shared(boxes)
+    here = np.isin(known, table["keys"].combine_chunks().values.to_numpy())
+    a, b = np.nonzero(np.triu(first >= 0, 1) & here[first] if len(known) else np.zeros((0, 0), bool))
+    keep = _may_agree(boxes, a, b)
+    comp, links = np.arange(len(reps)), []
+    for i, j in zip(a[keep], b[keep], strict=True):
+        if comp[i] != comp[j] and inliers(boxes[i], boxes[j]) >= INLIERS:
+            comp[comp == comp[j]] = comp[i]
+            links.append((reps[i], reps[j]))
+    return pa.table({"a": pa.array([p[0] for p in links], pa.int64()), "b": pa.array([p[1] for p in links], pa.int64())})
+
+
 def _compare(table: pa.Table) -> pa.Table:
     """Links between the queries and the targets of one block pair, at most one for each two components.
 
@@ -181,8 +247,9 @@ def _compare(table: pa.Table) -> pa.Table:
         due = (comps[asked][:, None] != comps[given][None, :]) & ~(asks[given][None, :] & (reps[asked][:, None] > reps[given][None, :]))
         if due.any():
             due &= ~_met_before(boxes, asked, given, table["key"][0].as_py())
-        for a, b in zip(*np.nonzero(due), strict=True):
-            i, j = asked[a], given[b]
+        a, b = np.nonzero(due)
+        keep = _may_agree(boxes, asked[a], given[b])
+        for i, j in zip(asked[a[keep]], given[b[keep]], strict=True):
             pair = (int(min(comps[i], comps[j])), int(max(comps[i], comps[j])))
             if pair not in seen and inliers(boxes[i], boxes[j]) >= INLIERS:
                 seen.add(pair)
@@ -194,9 +261,10 @@ def copies(images: DataFrame) -> DataFrame:
 
     class_id is the least image_id of those that are copies of each other,
     directly or through others.  Equal images are one; of others, those that share a
-    word of a Hamming table are compared: first all members of a bucket with its
-    least, then, where a bucket still spans several components, those outside its
-    largest component with all but the least, in blocks.  A null image is only a copy of null ones, an
+    word of a Hamming table are compared: all members of a bucket of at most BLOCK;
+    of a larger one first all with its least, then, where it still spans several
+    components, those outside its largest component with all but the least, in
+    blocks.  A null image is only a copy of null ones, an
     image too small or flat for corners only of its equals; an incomplete last row
     of pixels is left out of the search for corners.  Null ids are carried, never compared.
     """
@@ -211,12 +279,20 @@ def copies(images: DataFrame) -> DataFrame:
     buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("leader")).filter("n > 1")
     members = written(keyed.join(buckets, "key"), "members")
     box = byid.select("rep", "corners")
-    near = members.filter("rep <> leader").select("rep", "leader").distinct()
+    # Buckets of at most BLOCK members: those with one leader together, as they have many members in common, in slices if these are more than GROUP images.
+    few = members.filter(F.col("n") <= BLOCK)
+    slices = few.select("leader", "rep").distinct().groupBy("leader").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("slices"))
+    grouped = few.join(slices, "leader").groupBy("leader", F.expr("pmod(xxhash64(key), slices)").alias("slice"), "rep").agg(F.collect_list("key").alias("keys"))
+    within = grouped.join(box, "rep").groupBy("leader", "slice").applyInArrow(_within, "a long, b long")
+    # Larger ones: all members with the least.
+    many = members.filter(F.col("n") > BLOCK)
+    near = many.filter("rep <> leader").select("rep", "leader").distinct()
     sided = near.join(box, "rep").join(box.select(F.col("rep").alias("leader"), F.col("corners").alias("corners2")), "leader")
-    linked = written(sided.select(F.col("rep").alias("a"), F.col("leader").alias("b"), "corners", "corners2").mapInArrow(_pairs, "a long, b long"), "links")
+    starred = sided.select(F.col("rep").alias("a"), F.col("leader").alias("b"), "corners", "corners2").mapInArrow(_pairs, "a long, b long")
+    linked = written(within.unionByName(starred), "links")
     labels = connected_components(linked)
 
-    spread = members.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "leader", "n", F.coalesce("label", "rep").alias("comp"))
+    spread = many.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "leader", "n", F.coalesce("label", "rep").alias("comp"))
     split = spread.groupBy("key").agg(F.first("n").alias("n"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("set")).filter("n > 2 and least <> most")
     split = split.groupBy("n", "set").agg(F.min("key").alias("key"))
     # The least member has met all others, so it takes no part.

@@ -120,6 +120,59 @@ def test_op7_equals_all_pairs_that_share_a_word(spark, monkeypatch):
     assert got == label and met > 100 and 1 < len(set(label.values())) < len(label)
 
 
+def _join_rows(spark, since: int) -> tuple[int, int]:
+    """Rows that inner joins of rep with rep made in the executions from `since` on, and the number of executions."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store, made = spark._jsparkSession.sharedState().statusStore(), 0
+    runs = store.executionsList()
+    ids = [runs.apply(i).executionId() for i in range(runs.size())]
+    for run in (i for i in ids if i >= since):
+        nodes, values = store.planGraph(run).allNodes(), store.executionMetrics(run)
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            if re.search(r"Join \[rep#\d+L?\], \[rep#\d+L?\], Inner", node.desc()):
+                of = {node.metrics().apply(i).name(): node.metrics().apply(i).accumulatorId() for i in range(node.metrics().size())}
+                made += int(values.get(of["number of output rows"]).get().replace(",", ""))
+    return made, max(ids, default=-1) + 1
+
+
+def test_op7_sends_an_image_once_for_each_leader(spark, monkeypatch):
+    """All words of one least image go with one group; slices of it find the same links."""
+    rng, images = np.random.default_rng(5), {}
+    for k in range(12):
+        base = np.kron(rng.integers(0, 2, (16, 16)) * 120 + 60, np.ones((8, 8))).astype(np.uint8)
+        images |= {k: base, k + 20: np.clip(base * 0.7 + 30, 0, 255).astype(np.uint8), k + 40: base[9:, 7:]}
+    found, buckets = {}, {}
+    for k, v in sorted(images.items()):
+        y, x, scale, turn, words = media.corners(v)
+        found[k] = np.concatenate([np.stack([y, x, scale, turn], 1).astype(np.int64), words.astype(np.int64)], 1)
+        for w in {(c, int(word)) for c in range(4) for word in words[:, c]}:
+            buckets.setdefault(w, []).append(k)
+    shared = [b for b in buckets.values() if len(b) > 1]
+    assert max(map(len, shared)) <= media.BLOCK and max(map(len, shared)) > 3
+    label = {k: k for k in images}
+    pairs = sorted({(a, b) for m in shared for a in m for b in m if a < b})
+    good = [media.inliers(found[a], found[b]) >= media.INLIERS for a, b in pairs]
+    for (a, b), linked in zip(pairs, good, strict=True):
+        if linked:
+            low, high = sorted((label[a], label[b]))
+            label = {k: low if v == high else v for k, v in label.items()}
+
+    rows = [(k, bytearray(np.ascontiguousarray(v).tobytes()), v.shape[1]) for k, v in images.items()]
+    table = spark.createDataFrame(rows, "image_id long, pixels binary, width int")
+    _, before = _join_rows(spark, 1 << 60)
+    assert {r.image_id: r.class_id for r in media.copies(table).collect()} == label
+    made, _ = _join_rows(spark, before)
+    assert made == len({(m[0], k) for m in shared for k in m})
+
+    monkeypatch.setattr(media, "GROUP", 4)
+    assert {r.image_id: r.class_id for r in media.copies(table).collect()} == label
+
+    order = sorted(images)
+    left, right = (np.array([order.index(p[side]) for p in pairs]) for side in (0, 1))
+    may = media._may_agree([found[k] for k in order], left, right)
+    assert may[np.array(good)].all() and 0 < sum(good) < len(good)
+
+
 def _cosine(unit: str, df: dict, n: int) -> tuple[float, int]:
     idf = lambda t: math.log((1 + n) / (1 + df.get(t, 0))) + 1
     mine: dict = {}
