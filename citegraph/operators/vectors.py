@@ -16,6 +16,8 @@ from citegraph.sources.scratch import written
 
 #: Numbers in the queries that go to every task at once; more of them take more passes.
 QUERY_CELLS = 4_000_000
+#: Queries and vectors that a task multiplies at once, so that its memory does not grow with either.
+TILE_QUERIES, TILE_VECTORS = 512, 2048
 
 
 class Encoder(ABC):
@@ -135,21 +137,51 @@ def check_dimension(vectors: DataFrame, dimension: int) -> DataFrame:
 
 
 def _scorer(ids: np.ndarray, matrix: np.ndarray, k: int, id_type: pa.DataType):
+    def exact(block: np.ndarray, own: np.ndarray, q: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """Inner products of pairs, added in the order of the dimensions as SQL does, so that equal vectors tie wherever they stand."""
+        out = np.zeros(len(q))
+        for j in range(block.shape[1]):
+            out += block[q, j] * own[d, j]
+        return out
+
+    def first(q: np.ndarray, s: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The k best of each q, best first, and their places from 0."""
+        order = np.lexsort((d, -s, ~np.isnan(s), q))
+        q, s, d = q[order], s[order], d[order]
+        at = np.arange(len(q)) - np.searchsorted(q, q)
+        return tuple(x[at < k] for x in (q, s, d, at))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best_s, best_d = np.full((len(ids), 0), -np.inf), np.zeros((len(ids), 0), np.int64)
+        none = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))
+        starts = range(0, len(ids), TILE_QUERIES)
+        best, least = {b: none for b in starts}, np.full(len(ids), -np.inf)
+        length = np.sqrt((matrix * matrix).sum(1))
         for batch in batches:
-            rows = batch.column(1)
-            if not len(rows):
-                continue
-            own = rows.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), -1)
-            doc = batch.column(0).to_numpy(zero_copy_only=False)
-            scores = np.concatenate([best_s, matrix @ own.T], 1)
-            docs = np.concatenate([best_d, np.broadcast_to(doc, (len(ids), len(doc)))], 1)
-            order = np.lexsort((docs, -scores), axis=1)[:, :k]
-            best_s, best_d = np.take_along_axis(scores, order, 1), np.take_along_axis(docs, order, 1)
-        if best_s.shape[1]:
-            q = np.repeat(ids, best_s.shape[1])
-            yield pa.RecordBatch.from_arrays([pa.array(q, id_type), pa.array(best_d.ravel(), pa.int64()), pa.array(best_s.ravel())], ["query_id", "doc_id", "score"])
+            for at in range(0, len(batch), TILE_VECTORS):
+                part = batch.slice(at, TILE_VECTORS)
+                own = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(part), -1)
+                doc, far = part.column(0).to_numpy(zero_copy_only=False), np.sqrt((own * own).sum(1))
+                wild = ~np.isfinite(far)
+                # Twice what a product may be off in its last bits, whatever the order of addition.
+                slack = 4 * np.finfo(float).eps * own.shape[1] * far[~wild].max(initial=0)
+                for b in starts:
+                    block, bound = matrix[b : b + TILE_QUERIES], least[b : b + TILE_QUERIES] - slack * length[b : b + TILE_QUERIES]
+                    near = block @ own.T
+                    asked = ~(near < bound[:, None]) | wild
+                    if asked.sum() > 4 * k * len(block) and k < len(doc):
+                        kth = np.partition(near, len(doc) - k, axis=1)[:, len(doc) - k] - slack * length[b : b + TILE_QUERIES]
+                        asked &= ~(near < kth[:, None]) | wild
+                    q, d = np.nonzero(asked)
+                    if not len(q):
+                        continue
+                    found = (q, exact(block, own, q, d), doc[d])
+                    *best[b], place = first(*[np.concatenate(x) for x in zip(best[b], found, strict=True)])
+                    full = place == k - 1
+                    least[b + best[b][0][full]] = np.nan_to_num(best[b][1][full], nan=np.inf, posinf=np.inf, neginf=-np.inf)
+        for b in starts:
+            q, s, d = best[b]
+            if len(q):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[b + q], id_type), pa.array(d, pa.int64()), pa.array(s)], ["query_id", "doc_id", "score"])
 
     return run
 
@@ -157,8 +189,8 @@ def _scorer(ids: np.ndarray, matrix: np.ndarray, k: int, id_type: pa.DataType):
 def exact_top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, doc_id, score, rank): the k greatest inner products of `vectors` (doc_id long, embedding) for each of `queries` (query_id long, embedding); ties by doc_id.
 
-    Each task multiplies its vectors by a block of queries and passes on its best k
-    a query, so what is shuffled does not grow with the vectors.  Queries come to the
+    Each task multiplies its vectors by a block of queries, a tile at a time, and passes
+    on its best k a query, so what is shuffled does not grow with the vectors.  Queries come to the
     driver a block of QUERY_CELLS numbers at a time; with several blocks, each one's result is
     written before the next comes.  Without vectors or queries there are no rows.
     """

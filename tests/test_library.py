@@ -1,9 +1,12 @@
 """Chunking, tokens, index, graph, expansion, lookups, metrics and the agent on small inputs."""
 
 import random
+import tracemalloc
 from collections import deque
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -261,6 +264,28 @@ def test_dense_queries_in_blocks(spark, monkeypatch):
     assert sorted(vectors.exact_top_k(rows, asked, 3).collect()) == whole and len(whole) == 120
 
 
+def test_top_k_in_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(0)
+    own, asked = rng.normal(size=(10_000, 16)), rng.normal(size=(2_000, 16))
+    own[5000:5040], own[7], own[9, 0] = own[1], np.nan, np.inf
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(len(own)), pa.int64()), pa.array(list(own), pa.list_(pa.float64()))], ["doc_id", "embedding"])
+    tracemalloc.start()
+    out = pa.Table.from_batches(vectors._scorer(np.arange(len(asked)) * 3, asked, 5, pa.int64())(iter([batch]))).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 100  # 2,000 x 10,000 scores are 160 MB
+    got = list(zip(*out.values(), strict=True))
+    assert len(got) == 10_000
+    for q in (0, 511, 512, 1999):
+        score = [sum(a * b for a, b in zip(asked[q].tolist(), v, strict=True)) for v in own.tolist()]
+        order = sorted(range(len(own)), key=lambda i: (score[i] == score[i], -score[i] if score[i] == score[i] else 0, i))[:5]
+        assert [d for x, d, _ in got if x == 3 * q] == order
+    # Copies of one vector tie wherever a tile has them.
+    monkeypatch.setattr(vectors, "TILE_VECTORS", 3)
+    run = vectors._scorer(np.array([1]), own[1:2], 6, pa.int64())
+    assert pa.Table.from_batches(run(iter([batch.slice(0, 7), batch.slice(4990, 60)])))["doc_id"].to_pylist() == [1, 5000, 5001, 5002, 5003, 5004]
+
+
 def test_agent(index, tmp_path):
     tools = ToolBox(index)
     assert len(tools.names()) == 7 and not tools.call("no_such_tool").ok and "bad arguments" in tools.call("read_chunk", {"x": 1}).error
