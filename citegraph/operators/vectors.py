@@ -60,16 +60,26 @@ class TfidfSvdEncoder(Encoder):
             keep = np.argsort(-value)[: self.dimension]
             right = (dense.T @ left[:, keep]) / np.sqrt(np.maximum(value[keep], 1e-12))
         else:
-            from pyspark.mllib.linalg import Vectors
-            from pyspark.mllib.linalg.distributed import RowMatrix
-
-            grouped = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("v"))
-            matrix = RowMatrix(grouped.rdd.map(lambda r: Vectors.sparse(width, [(x.idx, x.weight) for x in r.v])), n, width)
-            right = matrix.computeSVD(self.dimension, computeU=False).V.toArray()
+            right = self._distributed(rows, n, width)
         spark = corpus.sparkSession
-        self.components = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(right)], "idx int, component array<double>").persist()
+        flat = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(right).ravel()), right.shape[1]).cast(pa.list_(pa.float64()))
+        self.components = spark.createDataFrame(pa.table({"idx": pa.array(np.arange(len(right)), pa.int32()), "component": flat}), "idx int, component array<double>").persist()
         return self
 
+    def _distributed(self, rows: DataFrame, n: int, width: int) -> np.ndarray:
+        """Right singular vectors by Spark's Lanczos iterations, of which each reads all rows; so they are kept as JVM vectors instead of being made anew by Python each time."""
+        from pyspark.mllib.linalg import Vectors
+        from pyspark.mllib.linalg.distributed import RowMatrix
+
+        grouped = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", "weight"))).alias("v"))
+        matrix = RowMatrix(grouped.select("v.idx", "v.weight").rdd.map(lambda r: Vectors.sparse(width, r.idx, r.weight)), n, width)
+        kept = matrix._java_matrix_wrapper._java_model.rows()
+        kept.persist(rows.sparkSession._jvm.org.apache.spark.storage.StorageLevel.MEMORY_AND_DISK())
+        try:
+            return matrix.computeSVD(self.dimension, computeU=False).V.toArray()
+        finally:
+            kept.unpersist(False)
+
     def term_weights(self, corpus: DataFrame) -> DataFrame:
         """(term, idx, idf) of the terms of `corpus`."""
         bags = written(corpus.select("doc_id", F.array_distinct(tokenize(F.col("text"))).alias("terms")), "terms")

@@ -286,6 +286,24 @@ def test_top_k_in_tiles(spark, monkeypatch):
     assert pa.Table.from_batches(run(iter([batch.slice(0, 7), batch.slice(4990, 60)])))["doc_id"].to_pylist() == [1, 5000, 5001, 5002, 5003, 5004]
 
 
+def test_distributed_fit_keeps_its_rows(spark, monkeypatch):
+    from pyspark.mllib.linalg.distributed import RowMatrix
+
+    kept, compute = [], RowMatrix.computeSVD
+    monkeypatch.setattr(RowMatrix, "computeSVD", lambda self, *a, **b: (kept.append(self._java_matrix_wrapper._java_model.rows().getStorageLevel().useMemory()), compute(self, *a, **b))[1])
+    words = ["red", "green", "blue", "grey", "pink"]
+    rows = [(i, " ".join(w for j, w in enumerate(words) for _ in range((i * (j + 3)) % (j + 2)))) for i in range(4100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    encoder = vectors.TfidfSvdEncoder(3).fit(docs)
+    assert kept == [True]  # Lanczos reads them dozens of times
+    dense = np.zeros((4100, 5))
+    for r in encoder.weights(docs).collect():
+        dense[r.doc_id, r.idx] = r.weight
+    right = np.linalg.svd(dense, full_matrices=False)[2][:3]
+    got = np.array([r.component for r in encoder.components.orderBy("idx").collect()])
+    assert np.abs(got @ got.T - right.T @ right).max() < 1e-6
+
+
 def test_agent(index, tmp_path):
     tools = ToolBox(index)
     assert len(tools.names()) == 7 and not tools.call("no_such_tool").ok and "bad arguments" in tools.call("read_chunk", {"x": 1}).error
