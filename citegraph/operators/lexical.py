@@ -43,9 +43,11 @@ class LexicalIndex:
         return self.doc_stats.count()
 
     def save(self, path: str) -> None:
-        # Sorted by term, so that a search reads only the row groups of its terms.
-        self.postings.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
-        for name in ("doc_stats", "term_stats", "corpus_stats"):
+        # Sorted by term, so that a search reads only the row groups of its terms; by hash, as a range exchange would count all postings twice.
+        self.postings.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/postings")
+        stored = self.postings.sparkSession.read.parquet(f"{path}/postings")
+        stored.groupBy("term").agg(F.count("*").alias("df")).write.mode("overwrite").parquet(f"{path}/term_stats")
+        for name in ("doc_stats", "corpus_stats"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
 
     @classmethod
@@ -54,12 +56,26 @@ class LexicalIndex:
 
 
 def build(docs: DataFrame, k1: float = K1, b: float = B) -> LexicalIndex:
-    """The index of `docs` (doc_id, text); a document without tokens still counts among them and in the mean length."""
-    bags = docs.select("doc_id", tokenize(F.col("text")).alias("tokens"))
-    postings = bags.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    """The index of `docs` (doc_id, text); a document without tokens still counts among them and in the mean length.
+
+    Texts are cut into tokens once; postings are counted within each row.
+    """
+    bags = written(docs.select("doc_id", tokenize(F.col("text")).alias("tokens")), "bags")
     doc_stats = bags.select("doc_id", F.size("tokens").cast("long").alias("dl"))
     term_stats = bags.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return LexicalIndex(postings, doc_stats, term_stats, doc_stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), k1, b)
+    return LexicalIndex(term_counts(bags), doc_stats, term_stats, doc_stats.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")), k1, b)
+
+
+def term_counts(bags: DataFrame) -> DataFrame:
+    """(term, doc_id, tf) of `bags` (doc_id, tokens): counted within each row without a shuffle if no two rows have one doc_id."""
+    if bags.groupBy("doc_id").count().filter("count > 1").limit(1).count():
+        return bags.select("doc_id", F.explode("tokens").alias("term")).groupBy("term", "doc_id").agg(F.count("*").alias("tf"))
+    # In sorted tokens a term's run ends where the next begins.
+    sorted_ = bags.select("doc_id", F.sort_array("tokens").alias("tokens"))
+    ends = F.filter(F.transform("tokens", lambda t, i: F.when((i + 1 == F.size("tokens")) | (t != F.get("tokens", i + 1)), F.struct(t.alias("term"), i.alias("at")))), lambda x: x.isNotNull())
+    runs = sorted_.select("doc_id", ends.alias("ends"))
+    tf = F.transform("ends", lambda x, i: F.struct(x["term"].alias("term"), (x["at"] - F.coalesce(F.get("ends", i - 1)["at"], F.lit(-1))).cast("long").alias("tf")))
+    return runs.select("doc_id", F.inline(tf)).select("term", "doc_id", "tf")
 
 
 def idf(n, df):
@@ -70,9 +86,11 @@ def search(index: LexicalIndex, queries: DataFrame, k: int = 20) -> DataFrame:
     """(query_id, doc_id, score, rank) of the k best documents for each of `queries` (query_id, text); a repeated query term counts as often."""
     terms = queries.select("query_id", F.explode(tokenize_query(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     weighed = terms.join(index.term_stats, "term").crossJoin(F.broadcast(index.corpus_stats)).select("query_id", "term", "avgdl", (F.col("qtf") * idf(F.col("n"), F.col("df"))).alias("w"))
-    hits = index.postings.join(small(weighed), "term")
+    weighed = small(weighed)
+    # Postings of the queries' terms go to their documents once; there each meets its queries, and a document's parts are added where they are.
+    hits = index.postings.join(small(terms.select("term").distinct()), "term", "left_semi").join(index.doc_stats, "doc_id")
     tf, dl = F.col("tf"), F.greatest(F.col("dl"), F.lit(1))
-    parts = hits.join(index.doc_stats, "doc_id").select("query_id", "doc_id", (F.col("w") * tf * (index.k1 + 1) / (tf + index.k1 * (1 - index.b + index.b * dl / F.col("avgdl")))).alias("part"))
+    parts = hits.join(weighed, "term").select("query_id", "doc_id", (F.col("w") * tf * (index.k1 + 1) / (tf + index.k1 * (1 - index.b + index.b * dl / F.col("avgdl")))).alias("part"))
     return ranked_top(parts.groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score")), k)
 
 

@@ -164,6 +164,23 @@ def test_lexical_edges(spark):
     assert scan == {(r.query_id, r.doc_id): pytest.approx(r.score) for r in lexical.search(index, queries).collect()}
 
 
+def test_index_cuts_texts_once(spark, tmp_path):
+    cut = spark.sparkContext.accumulator(0)
+    same = F.udf(lambda s: (cut.add(1), s)[1])
+    texts = ["alpha beta beta", None, "", "the of", "zeta alpha alpha zeta beta", "parseFile parseFile"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    index = lexical.build(docs.select("doc_id", same("text").alias("text")))
+    index.save(str(tmp_path))
+    assert cut.value == len(texts)
+    stored = lexical.LexicalIndex.load(spark, str(tmp_path))
+    got = {(r.term, r.doc_id): r.tf for r in stored.postings.collect()}
+    assert got == {("alpha", 0): 1, ("beta", 0): 2, ("alpha", 4): 2, ("beta", 4): 1, ("zeta", 4): 2, ("parsefile", 5): 2, ("parse", 5): 2, ("file", 5): 2}
+    assert {r.term: r.df for r in stored.term_stats.collect()} == {"alpha": 2, "beta": 2, "zeta": 1, "parsefile": 1, "parse": 1, "file": 1}
+    # Rows of one document are one document's terms.
+    twice = lexical.build(spark.createDataFrame([(1, "alpha beta"), (1, "alpha")], "doc_id long, text string"))
+    assert {(r.term, r.doc_id, r.tf) for r in twice.postings.collect()} == {("alpha", 1, 2), ("beta", 1, 1)}
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.8, 0.6])], "doc_id long, embedding array<float>")
     q = spark.createDataFrame([(0, [1.0, 0.1])], "query_id long, embedding array<float>")
