@@ -11,11 +11,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from citegraph.functions.text import tokenize
-from citegraph.operators.lexical import ranked_top
+from citegraph.operators.lexical import ranked_top, small
 from citegraph.sources.scratch import written
 
 #: Numbers in the queries that go to every task at once; more of them take more passes.
 QUERY_CELLS = 4_000_000
+#: Terms up to which a vocabulary goes to every task.
+VOCABULARY_ROWS = 1_000_000
 #: Queries and vectors that a task multiplies at once, so that its memory does not grow with either.
 TILE_QUERIES, TILE_VECTORS = 512, 2048
 
@@ -82,16 +84,16 @@ class TfidfSvdEncoder(Encoder):
 
     def term_weights(self, corpus: DataFrame) -> DataFrame:
         """(term, idx, idf) of the terms of `corpus`."""
-        bags = written(corpus.select("doc_id", F.array_distinct(tokenize(F.col("text"))).alias("terms")), "terms")
-        terms = bags.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-        return written(numbered(terms, "term").select("term", "idx", (F.log((1 + F.lit(bags.count())) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
+        terms = corpus.select(F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        return written(numbered(terms, "term").select("term", "idx", (F.log((1 + F.lit(corpus.count())) / (1 + F.col("df"))) + 1).alias("idf")), "idf")
 
     def weights(self, texts: DataFrame) -> DataFrame:
         """(doc_id, term, idx, weight): (1 + ln tf) * idf, rows of length 1; unknown terms are left out."""
         if self.idf is None:
             raise RuntimeError("the encoder is not fitted")
-        tf = texts.select("doc_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-        raw = tf.join(self.idf, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+        # Whole texts are dealt once, by document: terms are counted and lengths taken where they are, as a text is smaller than its counted terms.
+        tf = texts.select("doc_id", "text").repartition("doc_id").select("doc_id", F.explode(tokenize(F.col("text"))).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+        raw = tf.join(small(self.idf, VOCABULARY_ROWS), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
         norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc_id")))
         return raw.select("doc_id", "term", F.col("idx").cast("int").alias("idx"), (F.col("w") / norm).alias("weight"))
 

@@ -181,6 +181,18 @@ def test_index_cuts_texts_once(spark, tmp_path):
     assert {(r.term, r.doc_id, r.tf) for r in twice.postings.collect()} == {("alpha", 1, 2), ("beta", 1, 1)}
 
 
+def test_term_weights_shuffle_texts_once(spark):
+    docs = spark.createDataFrame([(1, "alpha beta beta"), (2, "alpha"), (2, "beta gamma"), (3, None)], "doc_id long, text string")
+    encoder = vectors.TfidfSvdEncoder()
+    encoder.idf = encoder.term_weights(docs)
+    found = encoder.weights(docs)
+    assert found._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(") == 1
+    rows = {(r.doc_id, r.term): r.weight for r in found.collect()}
+    assert sorted(rows) == [(1, "alpha"), (1, "beta"), (2, "alpha"), (2, "beta"), (2, "gamma")]
+    for doc in (1, 2):
+        assert sum(w * w for (d, _), w in rows.items() if d == doc) == pytest.approx(1.0)
+
+
 def test_vectors(spark):
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.8, 0.6])], "doc_id long, embedding array<float>")
     q = spark.createDataFrame([(0, [1.0, 0.1])], "query_id long, embedding array<float>")
